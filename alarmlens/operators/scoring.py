@@ -194,9 +194,21 @@ def _medians(rows, lengths, seconds, single_negative, by, limits):
         )
 
     def gathered(df):
-        # The grouping keys contain the keys of the shuffle, so no other one follows.
-        grouped = in_windows(df.repartition(*place)).groupBy(*key, "_block")
-        return grouped.agg(F.median("score").alias("score")).select(*key, "score")
+        # The keys contain those of the shuffle, so no other one follows. A window function
+        # rather than the median aggregate: its sort spills, the aggregate's hash maps do not.
+        # The number of partitions is fixed, because the grid multiplies the rows after the shuffle.
+        whole = Window.partitionBy(*key, "_block")
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        places = in_windows(df.repartition(partitions, *place)).select(
+            *key,
+            "_block",
+            "score",
+            F.row_number().over(whole.orderBy("score")).alias("_place"),
+            F.count(F.lit(1)).over(whole).alias("_rows"),
+        )
+        middle = places.where("_place * 2 between _rows and _rows + 2")
+        halves = (F.min("score") + F.max("score")) / F.lit(2.0)
+        return middle.groupBy(*key, "_block").agg(halves.alias("score")).select(*key, "score")
 
     def ranked(df):
         return exact_percentile(in_windows(df), key, "score", 0.5, "score", limits)

@@ -34,22 +34,41 @@ def evaluate(
 
     ``options`` are those of ``score_windows``.
     """
-    scored = score_windows(scores, alarms, windows, method, by=by, limits=limits, **options)
-    key = [*by, "window_length"]
-    counts = threshold_counts(scored, key)
+    counts, key = _counts(scores, alarms, windows, method, by, limits, options)
     return Evaluation(
         points_of(counts, key, drop_intermediate=drop_intermediate, limits=limits), auc_of(counts, key, limits)
     )
 
 
-def roc_surface(scores: DataFrame, alarms: DataFrame | Alarms, windows=DEFAULT_GRID, method="mean", **options) -> DataFrame:
+def roc_surface(
+    scores: DataFrame,
+    alarms: DataFrame | Alarms,
+    windows: Sequence[float] | DataFrame = DEFAULT_GRID,
+    method: str = "mean",
+    *,
+    drop_intermediate: bool = True,
+    by: Sequence[str] = BY,
+    limits: Limits = DEFAULT_LIMITS,
+    **options,
+) -> DataFrame:
     """The curve points of every window length."""
-    return evaluate(scores, alarms, windows, method, **options).points
+    counts, key = _counts(scores, alarms, windows, method, by, limits, options)
+    return points_of(counts, key, drop_intermediate=drop_intermediate, limits=limits)
 
 
-def surface_auc(scores: DataFrame, alarms: DataFrame | Alarms, windows=DEFAULT_GRID, method="mean", **options) -> DataFrame:
+def surface_auc(
+    scores: DataFrame,
+    alarms: DataFrame | Alarms,
+    windows: Sequence[float] | DataFrame = DEFAULT_GRID,
+    method: str = "mean",
+    *,
+    by: Sequence[str] = BY,
+    limits: Limits = DEFAULT_LIMITS,
+    **options,
+) -> DataFrame:
     """The AUC of every window length."""
-    return evaluate(scores, alarms, windows, method, **options).auc
+    counts, key = _counts(scores, alarms, windows, method, by, limits, options)
+    return auc_of(counts, key, limits)
 
 
 def roc_curve(
@@ -57,4 +76,10 @@ def roc_curve(
 ) -> DataFrame:
     """The curve points of one window length; ``ccdf`` counts scores above 0.95 unless told otherwise."""
     options.setdefault("threshold", CURVE_THRESHOLD)
-    return evaluate(scores, alarms, [window_length], method, **options).points
+    return roc_surface(scores, alarms, [window_length], method, **options)
+
+
+def _counts(scores, alarms, windows, method, by, limits, options):
+    scored = score_windows(scores, alarms, windows, method, by=by, limits=limits, **options)
+    key = [*by, "window_length"]
+    return threshold_counts(scored, key), key
