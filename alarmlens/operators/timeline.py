@@ -30,7 +30,8 @@ class Timeline:
         return cls(start, stop, max(1, -(-(stop - start + 1) // max(1, buckets))))
 
     def bucket(self, time: Column) -> Column:
-        inside = F.least(F.greatest(time, F.lit(self.start)), F.lit(self.stop))
+        start, stop = F.lit(self.start), F.lit(self.stop)
+        inside = F.when(time < start, start).when(time > stop, stop).otherwise(time)
         return F.floor((inside - F.lit(self.start)) / F.lit(self.width))
 
 

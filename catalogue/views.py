@@ -14,7 +14,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def epoch(column: str) -> Column:
-    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
+    # Plain arithmetic on the stored microseconds, independent of the session's time zone.
+    return F.expr(f"cast(cast({column} - TIMESTAMP_NTZ'1970-01-01 00:00:00' as interval second) as bigint)")
 
 
 def scores(spark: SparkSession, folder: str) -> DataFrame:
