@@ -77,7 +77,7 @@ def read_maintenances(spark: SparkSession, path: str, schema: str = MAINTENANCES
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """The AUC table by ``(algorithm, window_size)``."""
-    return spark.read.schema(SUMMARY).parquet(path)
+    return spark.read.schema(SUMMARY).parquet(path).select("algorithm", "window_size", "auc")
 
 
 def read_summary_file(spark: SparkSession, path: str) -> DataFrame:
