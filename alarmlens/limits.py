@@ -19,6 +19,8 @@ class Limits:
     candidates: int = 256
     # rows of one ordered group that a single task may walk through
     rows_per_task: int = 5_000_000
+    # scores of one window that may be sorted as an array in memory
+    rows_in_memory: int = 1_000_000
     # pieces a key is spread over when its partner is too large to broadcast
     salts: int = 256
     # accuracy of the quantile sketch that brackets an exact percentile

@@ -121,6 +121,20 @@ def _addends(method: str, decimals: int | None) -> dict[str, Column]:
     return addends
 
 
+def _steps(step: int, single_negative: bool) -> Column:
+    """Whole steps to the alarm; rounded up where "further than w" has to be decided."""
+    distance = (F.col("next_alarm") - F.col("unix")) / F.lit(step)
+    return F.ceil(distance) if single_negative else F.floor(distance)
+
+
+def _window_of_step(step: int, single_negative: bool) -> Column:
+    """The window number again, from the steps, for lengths that are multiples of the step."""
+    per_window = (F.col("window_length") * 3600 / step).cast("bigint")
+    if single_negative:
+        return (F.col("_step") > per_window).cast("bigint")
+    return F.floor(F.col("_step") / per_window)
+
+
 def _sums(rows, lengths, seconds, method, single_negative, decimals, by):
     """Mean and share above: sums that can be taken in steps.
 
@@ -131,14 +145,11 @@ def _sums(rows, lengths, seconds, method, single_negative, decimals, by):
     key = [*by, "window_length", "next_alarm", "window_no"]
     if seconds:
         step = common_step(seconds)
-        distance = (F.col("next_alarm") - F.col("unix")) / F.lit(step)
-        # Whole steps to the alarm; rounded up where "further than w" has to be decided.
-        steps = F.ceil(distance) if single_negative else F.floor(distance)
+        steps = _steps(step, single_negative)
         rows = rows.select(*by, "next_alarm", steps.alias("_step"), *[c.alias(n) for n, c in addends.items()])
         rows = rows.groupBy(*by, "next_alarm", "_step").agg(*[F.sum(n).alias(n) for n in addends])
         rows = rows.withColumn("window_length", lengths)
-        per_window = (F.col("window_length") * 3600 / step).cast("bigint")
-        number = (F.col("_step") > per_window).cast("bigint") if single_negative else F.floor(F.col("_step") / per_window)
+        number = _window_of_step(step, single_negative)
     else:
         rows = rows.select("*", *[c.alias(n) for n, c in addends.items()]).withColumn("window_length", lengths)
         number = window_number(F.col("window_length"), single_negative)
@@ -178,27 +189,47 @@ def _medians(rows, lengths, seconds, single_negative, by, limits):
     The windows of all lengths nest in blocks of their common span, counted from the alarm. Rows
     are shuffled once by block, and the grid is applied behind that shuffle.
     """
-    if seconds and not single_negative:
-        block = F.floor((F.col("next_alarm") - F.col("unix")) / F.lit(common_span(seconds)))
-    else:
-        block = F.lit(0).cast("bigint")
+    distance = F.col("next_alarm") - F.col("unix")
+    nested = bool(seconds) and not single_negative
+    block = F.floor(distance / F.lit(common_span(seconds))) if nested else F.lit(0).cast("bigint")
+    longest = F.floor(distance / F.lit(max(seconds))) if nested else F.lit(0).cast("bigint")
     rows = rows.withColumn("_block", block)
     place = [*by, "next_alarm", "_block"]
-    full = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limits.rows_per_task)
-    full = materialise(full.drop("_rows"))
     key = [*by, "window_length", "next_alarm", "window_no"]
+    # The number of partitions is fixed, because the grid multiplies the rows after the shuffle.
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    full = (
+        rows.groupBy(*place, longest.alias("_longest"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .groupBy(*place)
+        .agg(F.sum("_rows").alias("_all"), F.max("_rows").alias("_widest"))
+        .where((F.col("_all") > limits.rows_per_task) | (F.col("_widest") > limits.rows_in_memory))
+    )
+    full = materialise(full.select(*place))
 
     def in_windows(df):
         return df.withColumn("window_length", lengths).withColumn(
             "window_no", window_number(F.col("window_length"), single_negative)
         )
 
-    def gathered(df):
-        # The keys contain those of the shuffle, so no other one follows. A window function
-        # rather than the median aggregate: its sort spills, the aggregate's hash maps do not.
-        # The number of partitions is fixed, because the grid multiplies the rows after the shuffle.
-        whole = Window.partitionBy(*key, "_block")
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def merged(df):
+        # Scores are gathered once per step. A window sorts the arrays of its steps, which are sorted runs already.
+        step = common_step(seconds)
+        steps = df.select(*place, "score", _steps(step, single_negative).alias("_step"))
+        runs = steps.repartition(partitions, *place).groupBy(*place, "_step")
+        runs = runs.agg(F.sort_array(F.collect_list("score")).alias("_run")).withColumn("window_length", lengths)
+        runs = runs.withColumn("window_no", _window_of_step(step, single_negative))
+        # The keys contain those of the shuffle, so no other one follows.
+        grouped = runs.groupBy(*key, "_block").agg(F.sort_array(F.flatten(F.collect_list("_run"))).alias("_run"))
+        count = F.size("_run")
+        lower = F.element_at("_run", F.floor((count + 1) / F.lit(2)).cast("int"))
+        upper = F.element_at("_run", F.floor(count / F.lit(2) + 1).cast("int"))
+        return grouped.select(*key, ((lower + upper) / F.lit(2.0)).alias("score"))
+
+    def walked(df):
+        # Lengths without a common step: the rows of each window are sorted, with spilling, by a window function.
+        whole = Window.partitionBy("window_no", "window_length", "next_alarm", "_block", *by)
         places = in_windows(df.repartition(partitions, *place)).select(
             *key,
             "_block",
@@ -206,10 +237,12 @@ def _medians(rows, lengths, seconds, single_negative, by, limits):
             F.row_number().over(whole.orderBy("score")).alias("_place"),
             F.count(F.lit(1)).over(whole).alias("_rows"),
         )
-        middle = places.where("_place * 2 between _rows and _rows + 2")
+        middle = places.where("_place * 2L between _rows and _rows + 2")
         halves = (F.min("score") + F.max("score")) / F.lit(2.0)
         return middle.groupBy(*key, "_block").agg(halves.alias("score")).select(*key, "score")
 
+    gathered = merged if seconds else walked
+
     def ranked(df):
         return exact_percentile(in_windows(df), key, "score", 0.5, "score", limits)
 

@@ -14,6 +14,7 @@ SCHEMA = "algorithm string, unix bigint, score double"
 LENGTHS = [1, 6, 24]
 SHORT = replace(al.DEFAULT_LIMITS, rows_per_task=10)
 SHUFFLED = replace(al.DEFAULT_LIMITS, rows_per_task=10, broadcast_rows=0, salts=3)
+CROWDED = replace(al.DEFAULT_LIMITS, rows_in_memory=9)
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +53,9 @@ def test_mean(data, single, options):
 
 @pytest.mark.parametrize("single", [False, True])
 @pytest.mark.parametrize("lengths", [LENGTHS, [0.5, 1.25]])
-@pytest.mark.parametrize("limits", [al.DEFAULT_LIMITS, SHORT, SHUFFLED], ids=["window", "ranked", "shuffled"])
+@pytest.mark.parametrize(
+    "limits", [al.DEFAULT_LIMITS, SHORT, SHUFFLED, CROWDED], ids=["gathered", "ranked", "shuffled", "crowded"]
+)
 def test_median(data, single, lengths, limits):
     rows, alarms, scores, frame = data
     scored = al.score_windows(scores, frame, lengths, "median", single_negative=single, limits=limits)
