@@ -70,6 +70,8 @@ def filter_maintenances(
     scores: DataFrame, maintenances: DataFrame, cool_down: int = COOL_DOWN, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """Scores before the last maintenance and outside all of them."""
+    # Read twice below; the list may be the result of a long job.
+    maintenances = materialise(maintenances.select("unix_start", "unix_end").distinct())
     return outside_maintenance(before_last_maintenance(scores, maintenances), maintenances, cool_down, limits)
 
 

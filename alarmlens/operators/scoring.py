@@ -53,6 +53,7 @@ def score_windows(
     single_negative: bool = False,
     threshold: float | DataFrame | None = None,
     nab_total: str = "alarm",
+    nab_saturated: bool = True,
     revert: bool = False,
     decimals: int | None = DECIMALS,
     by: Sequence[str] = BY,
@@ -61,10 +62,15 @@ def score_windows(
 ) -> DataFrame:
     """Score and label every window of every window length, in one job.
 
-    ``windows`` is a list of hours, or a frame ``(*by, window_length)`` that gives each
-    group its own grid. ``threshold`` is used by ``ccdf``: a number, a frame ``(*by, threshold)``, or
-    None for the 95th percentile of the group. NaN and NULL scores are skipped; a window without any other
-    is left out. ``decimals=None`` takes plain double averages instead of the order-free sums.
+    ``windows``: a list of hours, or a frame ``(*by, window_length)`` that gives each group its own grid.
+    ``threshold``: for ``ccdf`` a number, a frame ``(*by, threshold)``, or None for the group's 95th percentile.
+    ``nab_total``: divide by the weights of the ``alarm``, or of the whole group (``global``).
+    ``nab_saturated``: with a single negative window, the rows outside the positive one weigh exactly 1.
+    ``revert``: low scores are the anomalous ones.
+    ``decimals``: places that the order-free sums keep; None takes plain averages of doubles.
+    ``roll_up``: sum the rows once per common step of the grid, where it has one.
+
+    NaN and NULL scores are skipped; a window without any other score is left out.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}, not {method!r}")
@@ -88,7 +94,7 @@ def score_windows(
     if method == "median":
         scored = _medians(rows, lengths, seconds, single_negative, by, limits)
     elif method == "NAB":
-        scored = _weighted(rows, lengths, single_negative, nab_total, decimals, by)
+        scored = _weighted(rows, lengths, single_negative, nab_total, nab_saturated, decimals, by)
     else:
         scored = _sums(rows, lengths, seconds if roll_up else None, method, single_negative, decimals, by)
     score = -F.col("score") if revert else F.col("score")
@@ -163,10 +169,10 @@ def _sums(rows, lengths, seconds, method, single_negative, decimals, by):
     return grouped.withColumn("score", score)
 
 
-def _weighted(rows, lengths, single_negative, nab_total, decimals, by):
+def _weighted(rows, lengths, single_negative, nab_total, nab_saturated, decimals, by):
     """Mean of ``weight * score`` over the sum of the weights of the alarm, or of the whole group."""
     decimals = DECIMALS if decimals is None else decimals
-    weigh = distance_weight_single if single_negative else distance_weight
+    weigh = distance_weight_single if single_negative and nab_saturated else distance_weight
     rows = (
         rows.withColumn("window_length", lengths)
         .withColumn("window_no", window_number(F.col("window_length"), single_negative))

@@ -64,12 +64,13 @@ def test_median(data, single, lengths, limits):
 
 @pytest.mark.parametrize("single", [False, True])
 @pytest.mark.parametrize("total", ["alarm", "global"])
-def test_distance_weighted(data, single, total):
+@pytest.mark.parametrize("saturated", [True, False])
+def test_distance_weighted(data, single, total, saturated):
     rows, alarms, scores, frame = data
     windows = naive.windows(rows, alarms, LENGTHS, single)
 
     def weigh(key, unix):
-        return naive.weight((key[2] - unix) / 3600, key[1], single)
+        return naive.weight((key[2] - unix) / 3600, key[1], single and saturated)
 
     totals = {}
     for key, members in windows.items():
@@ -80,7 +81,7 @@ def test_distance_weighted(data, single, total):
         mean = math.fsum(weigh(key, u) * s for u, s in members) / len(members)
         return mean / totals[key[:3] if total == "alarm" else key[:2]]
 
-    scored = al.score_windows(scores, frame, LENGTHS, "NAB", single_negative=single, nab_total=total)
+    scored = al.score_windows(scores, frame, LENGTHS, "NAB", single_negative=single, nab_total=total, nab_saturated=saturated)
     check(scored, windows, score, rel=1e-9)
 
 
