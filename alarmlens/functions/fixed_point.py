@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 DECIMALS = 12
 _UNITS = 10.0**DECIMALS
 _GROUP = 1_000_000
+_RANGE = 9.0e18
 
 
 def limbs(value: Column, name: str, decimals: int = DECIMALS) -> dict[str, Column]:
     """The three addends of ``value``, rounded to ``decimals`` decimals."""
     if decimals != DECIMALS:
         value = value * F.lit(10.0 ** (decimals - DECIMALS))
-    whole = F.floor(value)
+    outside = F.raise_error(F.lit("score infinite or beyond the range of exact sums; see decimals=None"))
+    whole = F.when(F.abs(value) < F.lit(_RANGE), F.floor(value)).otherwise(outside)
     units = F.floor((value - whole) * F.lit(_UNITS) + F.lit(0.5))
     micro = F.floor(units / F.lit(float(_GROUP)))
     return {f"{name}_whole": whole, f"{name}_micro": micro, f"{name}_pico": units - micro * F.lit(_GROUP)}

@@ -156,6 +156,15 @@ def test_large_sums(spark):
     assert scored.score == 9e14 + 1499.5
 
 
+def test_infinite_scores_are_reported(spark):
+    scores = spark.createDataFrame([("a", 0, 1.0), ("a", 1, float("inf"))], SCHEMA)
+    alarms = al.alarm_times(spark.createDataFrame([(60,)], "unix bigint"))
+    with pytest.raises(Exception, match="score infinite"):
+        al.score_windows(scores, alarms, [1]).collect()
+    assert al.score_windows(scores, alarms, [1], decimals=None).first().score == float("inf")
+    assert al.score_windows(scores, alarms, [1], "ccdf", threshold=2).first().score == 0.5
+
+
 def test_small_scores_with_more_decimals(spark):
     rows = [("a", 0, 3e-20), ("a", 1, 5e-20)]
     alarms = spark.createDataFrame([(60,)], "unix bigint")
