@@ -13,7 +13,6 @@ import alarmlens as al
 from alarmlens.cluster import scratch_path
 from alarmlens.operators.windows import default_grid
 from alarmlens.plans.report import auc_summary
-from alarmlens.plans.surface import evaluate
 from alarmlens.sinks import writers
 from alarmlens.sources import readers
 from catalogue import views
