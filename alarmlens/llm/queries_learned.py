@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from alarmlens.llm import quality, token_files, toxicity
+from alarmlens.llm import hmm, quality, token_files, toxicity
 from alarmlens.llm.common import table
 
 
@@ -26,4 +26,8 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity}
+def op8_hmm(spark, sf_dir):
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op8_hmm": op8_hmm}
