@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from alarmlens.llm import hmm, quality, token_files, toxicity
+from alarmlens.llm import hmm, jaccard, quality, token_files, toxicity
 from alarmlens.llm.common import table
 
 
@@ -30,4 +30,8 @@ def op8_hmm(spark, sf_dir):
     return hmm.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op8_hmm": op8_hmm}
+def op5_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op8_hmm": op8_hmm, "op5_jaccard": op5_jaccard}
