@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from alarmlens.llm import hmm, jaccard, quality, token_files, toxicity
+from pyspark.sql import functions as F
+
+from alarmlens.llm import hmm, jaccard, quality, repeats, token_files, toxicity
 from alarmlens.llm.common import table
 
 
@@ -34,4 +36,9 @@ def op5_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op8_hmm": op8_hmm, "op5_jaccard": op5_jaccard}
+def op9_repeats(spark, sf_dir):
+    cut = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op8_hmm": op8_hmm, "op5_jaccard": op5_jaccard, "op9_repeats": op9_repeats}

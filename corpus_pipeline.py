@@ -1,8 +1,69 @@
-"""Corpus preparation: stages that each read what the one before has kept."""
+"""Corpus preparation: stages that each read all that the one before has kept.
 
-STAGES = []
-ORACLE_SQL = None
+``STAGES`` are functions of ``(spark, docs, sf_dir)``. All but the last return the columns of ``docs``. ``run`` writes every
+stage to the shared folder and reads it back for the next.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from alarmlens.llm import decontaminate, jaccard, mixing, token_files, toxicity
+from alarmlens.llm.common import small, stored, table, text_key
+from alarmlens.llm.queries_learned import tokenizer_path
+
+IDS = 1_000_000  # ids in a broadcast: at most 16 MB
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5 stay; the model is trained on those of ``docs`` that are not held out."""
+    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays; rows that repeat id and text stay once."""
+    found = stored(jaccard.jaccard_components(docs), "groups")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    gone = gone.withColumnRenamed("doc_id", "_gone")
+    kept = docs.join(small(gone, IDS), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item stay."""
+    found = stored(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")), "contamination")
+    hit = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key"))
+    return docs.join(small(hit, IDS), same, "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to three times, or not at all."""
+    mixed = mixing.mix(docs, mixing.words_in(F.col("text")))
+    copies = mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("repeats"))))
+    return copies.select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files of the mix, read back: one row per document of the mix."""
+    return token_files.round_trip(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token files", write_tokens),
+]
+
+ORACLE_SQL = None  # a trained model and a tokenizer; tests/llm holds the stages against plain definitions
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
