@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from alarmlens.llm.common import small, stored, text_key
 
 LENGTH, GRAM = 400, 100
-_SPAN = 1 << 20  # bytes that a task hashes at once; longer texts go in pieces that overlap
-RUN_BYTES = 32 << 20  # suffixes that a task sorts at once
+_SPAN = 1 << 19  # bytes that a task hashes at once; longer texts go in pieces that overlap
+RUN_BYTES = 16 << 20  # suffixes that a task sorts at once
 BUCKET_BYTES = 16 << 20  # suffixes of one merge, on average
 IDS = 1_000_000  # ids in a broadcast: at most 16 MB
 _FEW = 24  # suffixes of one anchor that are compared one by one
@@ -276,7 +276,7 @@ def equal_strings(shared: list[int], keys: list[bytes], loads: list[tuple], leng
 MATCHES = "hash long, hi long, lo long, nearest int, farthest int"
 
 
-def matches(runs: DataFrame, length: int) -> DataFrame:
+def matches(runs: DataFrame, buckets: int, length: int) -> DataFrame:
     """Merge the runs of each bucket and compare neighbours: ranges of repeated strings by anchor and covered bytes."""
 
     def run(batches):
@@ -318,7 +318,7 @@ def matches(runs: DataFrame, length: int) -> DataFrame:
         if rows:
             yield merged(rows)
 
-    return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, MATCHES)
+    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, MATCHES)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -338,8 +338,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     wanted = stored(wanted, "wanted")
     # Rows that repeat a document give the same example twice; one is enough.
     texts = _with(docs, wanted).dropDuplicates(["doc_id", "_text"])
-    runs = stored(sorted_runs(texts, max(1, -(-size // BUCKET_BYTES)), length), "runs")
-    ranges = stored(matches(runs, length), "matches")
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    runs = stored(sorted_runs(texts, buckets, length), "runs")
+    ranges = stored(matches(runs, buckets, length), "matches")
 
     keys = ["hash", "hi", "lo"]
     whole = again.join(small(variants.where("times > 1").select(*keys)), keys)
