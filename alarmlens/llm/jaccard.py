@@ -21,34 +21,61 @@ from alarmlens.llm.common import small, stored
 WINDOW, PERCENT = 4, 85
 _BINS = 1 << 22  # counters of the rarity table: 4 MB of logarithms, whatever the corpus
 _PIECES = 64
+_AT_ONCE = 2_000_000  # n-grams counted in one go
+SHARED = 1_500_000  # n-grams in a broadcast: two numbers each
 BLOCK_GRAMS = 4_000_000  # n-grams of one block; 32 MB of hashes
-_CACHE = 400_000
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_VALUE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+_VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
+_FACTOR, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 class Hasher:
-    """Sets of hashed n-grams; distinct words are hashed once per task."""
+    """Sets of hashed n-grams of words.
 
-    def __init__(self, window: int):
-        self.window, self.known = window, {}
+    A word's hash is a polynomial over its bytes, taken from running sums over the whole text, so that no
+    word is touched on its own.
+    """
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        if not words:
+    def __init__(self, window: int):
+        self.window = window
+        self._grow(1 << 12)
+
+    def _grow(self, n: int) -> None:
+        ones = np.ones(n, np.uint64)
+        ones[1:] = _FACTOR
+        self.up = np.multiply.accumulate(ones)
+        ones[1:] = _INVERSE
+        self.down = np.multiply.accumulate(ones)
+
+    def __call__(self, raw: bytes | None) -> np.ndarray:
+        data = np.frombuffer(raw or b"", np.uint8)
+        inside = np.concatenate([[False], ~_SPACE[data], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
             return np.empty(0, np.uint64)
-        if len(self.known) > _CACHE:
-            self.known = {}
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        width = min(self.window, len(words))
+        if len(data) > len(self.up):
+            self._grow(2 * len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUE[data] * self.up[: len(data)], out=sums[1:])
+        codes = (sums[ends] - sums[starts]) * self.down[starts]
+        codes ^= (ends - starts).astype(np.uint64) << np.uint64(48)
+        width = min(self.window, len(codes))
         mixed = np.full(len(codes) - width + 1, np.uint64(width))
         for k in range(width):
-            mixed = (mixed ^ codes[k : len(codes) - width + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ codes[k : len(codes) - width + 1 + k]) * np.uint64(_FACTOR)
             mixed ^= mixed >> np.uint64(29)
         return np.unique(mixed)
 
 
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
+
+
 def rarity(docs: DataFrame, window: int) -> np.ndarray:
     """Base-2 logarithms of how many documents have an n-gram, by its lowest bits; fixed in size.
 
@@ -58,9 +85,16 @@ def rarity(docs: DataFrame, window: int) -> np.ndarray:
 
     def count(batches):
         total, hasher = np.zeros(_BINS, np.uint32), Hasher(window)
+        held, waiting = [], 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                np.add.at(total, (hasher(text) & np.uint64(_BINS - 1)).astype(np.int64), 1)
+            for text in _texts(batch):
+                held.append((hasher(text) & np.uint64(_BINS - 1)).astype(np.int32))
+                waiting += len(held[-1])
+                if waiting > _AT_ONCE:
+                    total += np.bincount(np.concatenate(held), minlength=_BINS).astype(np.uint32)
+                    held, waiting = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=_BINS).astype(np.uint32)
         pack = zstandard.ZstdCompressor(level=1)
         parts = np.minimum(total, 65535).astype(np.uint16).reshape(_PIECES, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(_PIECES), pa.int32()), pa.array([pack.compress(p.tobytes()) for p in parts], pa.binary())], ["piece", "counts"])
@@ -97,7 +131,7 @@ def signatures(docs: DataFrame, window: int, percent: int) -> DataFrame:
         hasher, logs = Hasher(window), table.value
         for batch in batches:
             n, node, prefix = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in _texts(batch):
                 grams = hasher(text)
                 size = len(grams)
                 n.append(size)
@@ -222,7 +256,7 @@ def sets_of(rows: DataFrame, window: int) -> DataFrame:
     def run(batches):
         hasher, pack = Hasher(window), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            sets = [hasher(t) for t in batch.column("text").to_pylist()]
+            sets = [hasher(t) for t in _texts(batch)]
             same = pa.array([len(s) > 0 and _node(s) == k for s, k in zip(sets, batch.column("node").to_pylist())])
             grams = pa.array([pack.compress(s.tobytes()) for s in sets], pa.binary())
             columns = [batch.column("root"), batch.column("node"), batch.column("pieces"), grams]
@@ -245,7 +279,7 @@ def jaccard_components(docs: DataFrame, window: int = WINDOW, percent: int = PER
     postings = marks.where("n > 0").select("node", F.explode("prefix").alias("gram"))
     shared = postings.groupBy("gram").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other < last")
     shared = stored(shared.select("gram", "other"), "shared-grams")
-    touch = postings.join(small(shared), "gram").where("node <> other").select("node", "other").distinct()
+    touch = postings.join(small(shared, SHARED), "gram").where("node <> other").select("node", "other").distinct()
     groups = components(stored(touch, "touching"), "touch")
 
     # How many pieces a group is cut into, from the n-grams of all its sets.
@@ -254,7 +288,7 @@ def jaccard_components(docs: DataFrame, window: int = WINDOW, percent: int = PER
     wanted = stored(sized.join(pieces, "root").select("lowest", "node", "root", "pieces"), "wanted")
     rows = docs.select(F.col("doc_id").alias("lowest"), "text")
     with_text = rows.join(small(wanted), F.expr("true") & rows["lowest"].eqNullSafe(wanted["lowest"]))
-    sets = stored(sets_of(with_text, window), "sets")
+    sets = sets_of(with_text, window)
     piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("node"), "pieces")).otherwise(F.lit(0).cast("bigint"))
     sets = sets.withColumn("_piece", piece).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
     block = F.xxhash64("root", F.least("_piece", "_with"), F.greatest("_piece", "_with"))
