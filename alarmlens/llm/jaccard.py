@@ -7,6 +7,7 @@ sizes are discarded. Groups beyond a bound are cut, and every two pieces meet in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -278,8 +279,15 @@ def jaccard_components(docs: DataFrame, window: int = WINDOW, percent: int = PER
     )
     postings = marks.where("n > 0").select("node", F.explode("prefix").alias("gram"))
     shared = postings.groupBy("gram").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other < last")
-    shared = stored(shared.select("gram", "other"), "shared-grams")
-    touch = postings.join(small(shared, SHARED), "gram").where("node <> other").select("node", "other").distinct()
+    shared = stored(shared.select("gram"), "shared-grams")
+    # Sets of linkable size share a class or are neighbours in it; a set stands in its own and in the next one.
+    size_class = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / (percent - 0.1)))).cast("int")
+    sized = marks.where("n > 0").select("node", size_class.alias("size"), F.explode("prefix").alias("gram"))
+    sized = sized.join(small(shared.select("gram"), SHARED), "gram", "left_semi").distinct()
+    sized = stored(sized.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") + 1))), "sized-grams")
+    near = sized.groupBy("gram", "size").agg(F.min("node").alias("other"), F.max("node").alias("last"))
+    near = near.where("other < last").select("gram", "size", "other")
+    touch = sized.join(small(near, SHARED), ["gram", "size"]).where("node <> other").select("node", "other").distinct()
     groups = components(stored(touch, "touching"), "touch")
 
     # How many pieces a group is cut into, from the n-grams of all its sets.
