@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,55 +46,58 @@ class WordEncoder:
         self._forget()
 
     def _forget(self):
-        self.place: dict[bytes, int] = {}
-        self.stems: dict[bytes, np.ndarray] = {}
-        self.starts, self.sizes, self.pool, self.filled = [], [], np.empty(1 << 16, np.uint16), 0
-        self.index = None
+        self.place: defaultdict[bytes, int] = defaultdict(count().__next__)
+        # A word is a stem and a suffix, which may be empty (number 0); each of these has its ids in the pool.
+        self.parts = np.empty((0, 2), np.int64)
+        self.stems: dict[bytes, int] = {b"": 0}
+        self.sizes, self.pool = np.zeros(1, np.int64), np.empty(0, np.uint16)
+        self.starts = np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stems(self, stems: list[bytes]) -> None:
-        """Fill ``self.stems``; words of letters alone share a call, parted again at their word ends."""
-        texts = [s.decode() for s in stems]
-        plain = [(s, t) for s, t in zip(stems, texts) if t.isalpha()]
-        single = [(s, t) for s, t in zip(stems, texts) if not t.isalpha()]
+    def _learn_stems(self, stems: list[bytes]) -> None:
+        """Words of letters alone share a call, parted again at their word ends; all others have a call each."""
+        single, plain = [], []
+        for stem in stems:
+            letters = stem.isalpha() or (not stem.isascii() and stem.decode().isalpha())
+            (plain if letters else single).append(stem)
+        named, found, sizes = [], [self.pool], []
         chunks = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        for chunk, ids in zip(chunks, self._encode([" ".join(t for _, t in c) for c in chunks])):
+        for chunk, ids in zip(chunks, self._encode([b" ".join(c).decode() for c in chunks])):
             ids = np.array(ids, np.uint16)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(chunk) and (not len(cuts) or cuts[-1] == len(ids)):
-                self.stems.update(zip((s for s, _ in chunk), np.split(ids, cuts[:-1])))
+            if len(cuts) == len(chunk) and cuts[-1] == len(ids):
+                named += chunk
+                found.append(ids)
+                sizes.append(np.diff(cuts, prepend=0))
             else:
-                single.extend(chunk)
-        for (s, _), ids in zip(single, self._encode([t for _, t in single])):
-            self.stems[s] = np.array(ids, np.uint16)
+                single += chunk
+        alone = self._encode([s.decode() for s in single])
+        named += single
+        found.append(np.fromiter(chain.from_iterable(alone), np.uint16))
+        sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+        self.stems.update(zip(named, range(len(self.stems), len(self.stems) + len(named))))
+        self.pool = np.concatenate(found)
+        self.sizes = np.concatenate([self.sizes, *sizes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def _learn(self, words: list[bytes]) -> None:
-        parts = []
+        stems, suffixes = [], []
         for word in words:
             stem = word.rstrip(_SUFFIX)
             # The suffix stands alone only behind a letter or digit.
-            if len(stem) == len(word) or not stem or not stem[-16:].decode(errors="ignore")[-1:].isalnum():
-                parts.append((word, b""))
+            last = stem[-1:]
+            if len(stem) < len(word) and (last.isalnum() or (last > b"\x7f" and stem.decode()[-1].isalnum())):
+                stems.append(stem)
+                suffixes.append(word[len(stem) :])
             else:
-                parts.append((stem, word[len(stem) :]))
-        new = {s for pair in parts for s in pair if s and s not in self.stems}
-        self._stems(list(new))
-        pieces = []
-        for stem, suffix in parts:
-            ids = self.stems[stem]
-            pieces.append(np.concatenate([ids, self.stems[suffix]]) if suffix else ids)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.starts.extend((self.filled + np.cumsum(sizes) - sizes).tolist())
-        self.sizes.extend(sizes.tolist())
-        total = self.filled + int(sizes.sum())
-        if total > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.filled], np.empty(max(total, 2 * self.filled) - self.filled, np.uint16)])
-        if total > self.filled:
-            self.pool[self.filled : total] = np.concatenate(pieces)
-        self.filled = total
-        self.index = None
+                stems.append(word)
+                suffixes.append(b"")
+        self._learn_stems([s for s in dict.fromkeys(chain(stems, suffixes)) if s not in self.stems])
+        number = self.stems.__getitem__
+        new = [np.fromiter(map(number, side), np.int64, len(words)) for side in (stems, suffixes)]
+        self.parts = np.concatenate([self.parts, np.stack(new, axis=1)])
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many of them each text has."""
@@ -106,29 +111,18 @@ class WordEncoder:
                 lists.append([w if b"<|" in w else w.lower() for w in raw.split()])
             else:
                 lists.append(raw.lower().split())
-        place = self.place
-        known = len(place)
+        known = len(self.place)
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        which = np.empty(int(counts.sum()), np.int64)
-        at = 0
-        for words in lists:
-            for word in words:
-                n = place.get(word)
-                if n is None:
-                    n = place[word] = len(place)
-                which[at] = n
-                at += 1
-        if len(place) > known:
-            self._learn(list(place)[known:])
-        if self.index is None:
-            self.index = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
-        starts, sizes = self.index
-        own = sizes[which] if len(which) else np.empty(0, np.int64)
+        which = np.fromiter(map(self.place.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+        if len(self.place) > known:
+            self._learn(list(islice(self.place, known, None)))
+        parts = self.parts[which].reshape(-1)
+        own = self.sizes[parts]
         ends = np.cumsum(own)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.arange(total) - np.repeat(ends - own - starts[which], own)] if total else self.pool[:0]
+        ids = self.pool[np.arange(total) - np.repeat(ends - own - self.starts[parts], own)]
         ends = np.concatenate([[0], ends])
-        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+        return ids, np.diff(ends[2 * np.concatenate([[0], np.cumsum(counts)])])
 
 
 def _groups(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
