@@ -19,6 +19,7 @@ from alarmlens.operators.windows import (
     common_span,
     common_step,
     positive_label,
+    positive_lengths,
     whole_seconds,
     window_number,
 )
@@ -70,7 +71,7 @@ def score_windows(
     ``decimals``: places that the order-free sums keep; None takes plain averages of doubles.
     ``roll_up``: sum the rows once per common step of the grid, where it has one.
 
-    NaN and NULL scores are skipped; a window without any other score is left out.
+    NaN and NULL scores are skipped, as are rows without a time; a window without any other score is left out.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}, not {method!r}")
@@ -78,12 +79,12 @@ def score_windows(
         raise ValueError(f"nab_total must be 'alarm' or 'global', not {nab_total!r}")
     by = list(by)
     rows = scores.select(*by, "unix", F.nanvl(F.col("score").cast("double"), F.lit(None)).alias("score"))
-    rows = rows.where("score is not null")
+    rows = rows.where("score is not null and unix is not null")
     if method == "ccdf":
         rows = _with_threshold(rows, scores, threshold, by, limits)
     rows = next_alarm(rows, alarms, limits)
 
-    grid = None if isinstance(windows, DataFrame) else [float(length) for length in windows]
+    grid = None if isinstance(windows, DataFrame) else positive_lengths(windows)
     if grid is None:
         rows = _with_own_grid(rows, windows, by, limits)
         lengths = F.explode("_grid")
@@ -94,7 +95,7 @@ def score_windows(
     if method == "median":
         scored = _medians(rows, lengths, seconds, single_negative, by, limits)
     elif method == "NAB":
-        scored = _weighted(rows, lengths, single_negative, nab_total, nab_saturated, decimals, by)
+        scored = _weighted(rows, lengths, single_negative, nab_total, nab_saturated, decimals, by, limits)
     else:
         scored = _sums(rows, lengths, seconds if roll_up else None, method, single_negative, decimals, by)
     score = -F.col("score") if revert else F.col("score")
@@ -169,7 +170,7 @@ def _sums(rows, lengths, seconds, method, single_negative, decimals, by):
     return grouped.withColumn("score", score)
 
 
-def _weighted(rows, lengths, single_negative, nab_total, nab_saturated, decimals, by):
+def _weighted(rows, lengths, single_negative, nab_total, nab_saturated, decimals, by, limits):
     """Mean of ``weight * score`` over the sum of the weights of the alarm, or of the whole group."""
     decimals = DECIMALS if decimals is None else decimals
     weigh = distance_weight_single if single_negative and nab_saturated else distance_weight
@@ -183,10 +184,16 @@ def _weighted(rows, lengths, single_negative, nab_total, nab_saturated, decimals
         F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(n) for n, c in addends.items()]
     )
     # One row per window is left here, no longer one per score.
-    whole = Window.partitionBy(*by, "window_length", *(["next_alarm"] if nab_total == "alarm" else []))
-    totals = [F.sum(n).over(whole).alias(n) for n in limb_names("_weight")]
     kept = [c for c in grouped.columns if c not in limb_names("_weight")]
-    return grouped.select(*kept, *totals).withColumn("score", mean_of("_score", "_rows", decimals) / total_of("_weight"))
+    if nab_total == "alarm":
+        whole = Window.partitionBy(*by, "window_length", "next_alarm")
+        weighed = grouped.select(*kept, *[F.sum(n).over(whole).alias(n) for n in limb_names("_weight")])
+    else:
+        # All windows of a group share the total: summed in part first, then looked up, so none is held in one task.
+        grouped = materialise(grouped)
+        totals = grouped.groupBy(*by, "window_length").agg(*[F.sum(n).alias(n) for n in limb_names("_weight")])
+        weighed = attach(grouped.select(*kept), materialise(totals), [*by, "window_length"], limits)
+    return weighed.withColumn("score", mean_of("_score", "_rows", decimals) / total_of("_weight"))
 
 
 def _medians(rows, lengths, seconds, single_negative, by, limits):
@@ -231,7 +238,7 @@ def _medians(rows, lengths, seconds, single_negative, by, limits):
         count = F.size("_run")
         lower = F.element_at("_run", F.floor((count + 1) / F.lit(2)).cast("int"))
         upper = F.element_at("_run", F.floor(count / F.lit(2) + 1).cast("int"))
-        return grouped.select(*key, ((lower + upper) / F.lit(2.0)).alias("score"))
+        return grouped.select(*key, (lower * F.lit(0.5) + upper * F.lit(0.5)).alias("score"))
 
     def walked(df):
         # Lengths without a common step: the rows of each window are sorted, with spilling, by a window function.
@@ -244,7 +251,7 @@ def _medians(rows, lengths, seconds, single_negative, by, limits):
             F.count(F.lit(1)).over(whole).alias("_rows"),
         )
         middle = places.where("_place * 2L between _rows and _rows + 2")
-        halves = (F.min("score") + F.max("score")) / F.lit(2.0)
+        halves = F.min("score") * F.lit(0.5) + F.max("score") * F.lit(0.5)
         return middle.groupBy(*key, "_block").agg(halves.alias("score")).select(*key, "score")
 
     gathered = merged if seconds else walked

@@ -29,13 +29,20 @@ def window_number(window_length: Column, single_negative: bool = False) -> Colum
     return F.floor(seconds / (F.lit(3600.0) * window_length))
 
 
+def positive_lengths(windows: Sequence[float]) -> list[float]:
+    lengths = [float(length) for length in windows]
+    if not all(length > 0 for length in lengths):
+        raise ValueError(f"window lengths must be above 0, not {lengths}")
+    return lengths
+
+
 def positive_label() -> Column:
     return (F.col("window_no") == 0) & (F.col("next_alarm") != NO_ALARM)
 
 
 def with_window_number(annotated: DataFrame, window_length: float, single_negative: bool = False) -> DataFrame:
     """Add ``hours_to_alarm``, ``window_no`` and ``label`` for one window length."""
-    length = F.lit(float(window_length))
+    length = F.lit(*positive_lengths([window_length]))
     return (
         annotated.withColumn("hours_to_alarm", hours_to_alarm())
         .withColumn("window_no", window_number(length, single_negative))

@@ -309,14 +309,15 @@ ORACLE: dict[str, str] = {
     "roc_points": points_sql(reduced=False),
     "roc_points_reduced": points_sql(),
     "roc_points_reduced_daily": points_sql(source=DAILY, lengths=DAILY_GRID),
-    "auc": auc_sql(scored_mean(), lengths=(6,)),
-    "auc_bucketed": auc_sql(scored_mean(), lengths=(6,)),
+    "auc": auc_sql(scored_mean()),
+    "auc_bucketed": auc_sql(scored_mean()),
     "precision_recall_f1": points_sql(
-        ("algorithm", "window_length", "point_no", "threshold", "precision", "recall", "f1"), False, lengths=(6,)
+        ("algorithm", "window_length", "point_no", "threshold", "precision", "recall", "f1"), False
     ),
     "roc_curve_6h": points_sql(lengths=(6,)),
-    "roc_surface": points_sql(lengths=(1, 6, 24, 48)),
+    "roc_surface": points_sql(),
     "surface_auc": auc_sql(scored_mean()),
+    "surface_auc_missing_times": auc_sql(scored_mean()),
     "surface_auc_single": auc_sql(scored_mean(), single=True),
     "surface_auc_rollup": auc_sql(scored_mean(), lengths=(0.5, 1, 1.5, 6)),
     "surface_auc_median": auc_sql(SCORED_MEDIAN),

@@ -117,6 +117,12 @@ def _curve(spark, folder):
     return al.roc_curve(*events(spark, folder)).select(*CURVE_COLUMNS)
 
 
+def _with_missing_times(spark, folder):
+    """All scores, and all of them once more without their time."""
+    scores, alarms = events(spark, folder)
+    return scores.unionByName(scores.withColumn("unix", F.lit(None).cast("bigint"))), alarms
+
+
 def _daily_points(spark, folder):
     return al.roc_surface(*daily(spark, folder), DAILY_GRID).select(*CURVE_COLUMNS)
 
@@ -126,7 +132,7 @@ def _confusion(spark, folder, limits=al.DEFAULT_LIMITS):
 
 
 def _auc(spark, folder, limits=al.DEFAULT_LIMITS):
-    return al.auc(al.score_windows(*events(spark, folder), windows=[6]), limits=limits)
+    return al.auc(al.score_windows(*events(spark, folder)), limits=limits)
 
 
 def _read_format(format, header) -> Query:
@@ -243,12 +249,13 @@ QUERIES: dict[str, Query] = {
     "auc": _auc,
     "auc_bucketed": partial(_auc, limits=SHORT_TASKS),
     "precision_recall_f1": _points(
-        ("algorithm", "window_length", "point_no", "threshold", "precision", "recall", "f1"), [6], drop_intermediate=False
+        ("algorithm", "window_length", "point_no", "threshold", "precision", "recall", "f1"), drop_intermediate=False
     ),
     # surfaces
     "roc_curve_6h": _curve,
-    "roc_surface": _points(grid=[1, 6, 24, 48]),
+    "roc_surface": _points(),
     "surface_auc": _surface(),
+    "surface_auc_missing_times": _surface(source=_with_missing_times),
     "surface_auc_single": _surface(single_negative=True),
     "surface_auc_rollup": _surface(roll_up=True, grid=[0.5, 1, 1.5, 6]),
     "surface_auc_median": _surface("median"),

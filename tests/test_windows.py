@@ -66,3 +66,18 @@ def test_grids(spark, annotated):
             low, high = max(bound.min_hours, 1.0), min(bound.max_hours, 48.0)
             ours = sorted(r.window_length for r in grid if r.algorithm == algorithm)
             assert ours == pytest.approx(list(np.linspace(low, high, n)), abs=1e-12)
+
+
+def test_lengths_have_to_be_positive(spark):
+    scores = spark.createDataFrame([("a", 1, 0.5)], "algorithm string, unix long, score double")
+    alarms = spark.createDataFrame([(10,)], "unix long")
+    for length in (0, -1):
+        with pytest.raises(ValueError, match="above 0"):
+            al.score_windows(scores, alarms, windows=[length])
+
+
+def test_rows_without_a_time_are_in_no_window(spark):
+    rows = [("a", 1, 0.5), ("a", None, 0.9), ("a", 20_000, 0.1)]
+    scores = spark.createDataFrame(rows, "algorithm string, unix long, score double")
+    alarms = spark.createDataFrame([(7_000,)], "unix long")
+    assert al.score_windows(scores, alarms, windows=[2]).count() == 2
