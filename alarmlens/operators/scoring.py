@@ -8,7 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alarmlens.cluster import at_most, attach, join_null_safe, materialise
-from alarmlens.functions.fixed_point import DECIMALS, limb_names, limbs, mean_of, total_of
+from alarmlens.functions.fixed_point import (
+    finite,
+    fixed_scale,
+    infinities,
+    limb_names,
+    limbs,
+    mean_of,
+    scale_of,
+    total_of,
+)
 from alarmlens.functions.weights import distance_weight, distance_weight_single
 from alarmlens.limits import DEFAULT_LIMITS, Limits
 from alarmlens.operators.alarms import Alarms, hours_to_alarm, next_alarm
@@ -27,6 +36,7 @@ from alarmlens.operators.windows import (
 # The aggregation methods, and the threshold of "ccdf" for a single curve.
 METHODS = ("mean", "median", "NAB", "ccdf")
 CURVE_THRESHOLD = 0.95
+AUTO = "auto"  # decimals by the largest score of a group
 
 
 def global_threshold(
@@ -56,7 +66,7 @@ def score_windows(
     nab_total: str = "alarm",
     nab_saturated: bool = True,
     revert: bool = False,
-    decimals: int | None = DECIMALS,
+    decimals: int | str | None = AUTO,
     by: Sequence[str] = BY,
     limits: Limits = DEFAULT_LIMITS,
     roll_up: bool = True,
@@ -68,10 +78,12 @@ def score_windows(
     ``nab_total``: divide by the weights of the ``alarm``, or of the whole group (``global``).
     ``nab_saturated``: with a single negative window, the rows outside the positive one weigh exactly 1.
     ``revert``: low scores are the anomalous ones.
-    ``decimals``: places that the order-free sums keep; None takes plain averages of doubles.
+    ``decimals``: places that the order-free sums keep; by default 12 behind the first digit of the group's
+    largest finite score, or behind the point if that score is from 1 to 1e15; None takes plain averages of doubles.
     ``roll_up``: sum the rows once per common step of the grid, where it has one.
 
-    NaN and NULL scores are skipped, as are rows without a time; a window without any other score is left out.
+    NaN and NULL scores are skipped, as are rows without a time; a window without any other score is left out. Infinite
+    scores make means infinite; a window with both signs has no mean and is left out.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}, not {method!r}")
@@ -82,6 +94,8 @@ def score_windows(
     rows = rows.where("score is not null and unix is not null")
     if method == "ccdf":
         rows = _with_threshold(rows, scores, threshold, by, limits)
+    elif method in ("mean", "NAB") and decimals is not None:
+        rows = _with_scale(rows, decimals, by, limits)
     rows = next_alarm(rows, alarms, limits)
 
     grid = None if isinstance(windows, DataFrame) else positive_lengths(windows)
@@ -98,6 +112,8 @@ def score_windows(
         scored = _weighted(rows, lengths, single_negative, nab_total, nab_saturated, decimals, by, limits)
     else:
         scored = _sums(rows, lengths, seconds if roll_up else None, method, single_negative, decimals, by)
+    if method in ("mean", "NAB") and decimals is not None:
+        scored = scored.where("score is not null")
     score = -F.col("score") if revert else F.col("score")
     return scored.select(
         *by, "window_length", "next_alarm", "window_no", score.alias("score"), positive_label().alias("label")
@@ -112,19 +128,27 @@ def _with_threshold(rows, scores, threshold, by, limits):
     return attach(rows, materialise(threshold.select(*by, "threshold")), by, limits)
 
 
+def _with_scale(rows, decimals, by, limits):
+    if decimals != AUTO:
+        return rows.withColumn("_scale", fixed_scale(decimals))
+    largest = rows.groupBy(*by).agg(F.max(F.abs(finite(F.col("score")))).alias("_largest"))
+    scales = largest.select(*by, scale_of(F.col("_largest")).alias("_scale"))
+    return attach(rows, materialise(scales), by, limits)
+
+
 def _with_own_grid(rows, windows, by, limits):
     grids = windows.groupBy(*by).agg(F.sort_array(F.collect_set("window_length")).alias("_grid"))
     return attach(rows, materialise(grids), by, limits)
 
 
-def _addends(method: str, decimals: int | None) -> dict[str, Column]:
+def _addends(method: str, decimals: int | str | None) -> dict[str, Column]:
     addends = {"_rows": F.lit(1).cast("bigint")}
     if method == "ccdf":
         addends["_above"] = (F.col("score") > F.col("threshold")).cast("bigint")
     elif decimals is None:
         addends["_plain"] = F.col("score")
     else:
-        addends |= limbs(F.col("score"), "_score", decimals)
+        addends |= limbs(F.col("score"), "_score", F.col("_scale")) | infinities(F.col("score"), "_score")
     return addends
 
 
@@ -149,39 +173,47 @@ def _sums(rows, lengths, seconds, method, single_negative, decimals, by):
     grid multiplies those few sums instead of the rows.
     """
     addends = _addends(method, decimals)
+    sums = [F.sum(n).alias(n) for n in addends]
+    if method == "mean" and decimals is not None:
+        addends["_scale"] = F.col("_scale")
+        sums.append(F.max("_scale").alias("_scale"))
     key = [*by, "window_length", "next_alarm", "window_no"]
     if seconds:
         step = common_step(seconds)
         steps = _steps(step, single_negative)
         rows = rows.select(*by, "next_alarm", steps.alias("_step"), *[c.alias(n) for n, c in addends.items()])
-        rows = rows.groupBy(*by, "next_alarm", "_step").agg(*[F.sum(n).alias(n) for n in addends])
+        rows = rows.groupBy(*by, "next_alarm", "_step").agg(*sums)
         rows = rows.withColumn("window_length", lengths)
         number = _window_of_step(step, single_negative)
     else:
-        rows = rows.select("*", *[c.alias(n) for n, c in addends.items()]).withColumn("window_length", lengths)
+        rows = rows.withColumns(addends).withColumn("window_length", lengths)
         number = window_number(F.col("window_length"), single_negative)
-    grouped = rows.withColumn("window_no", number).groupBy(*key).agg(*[F.sum(n).alias(n) for n in addends])
+    grouped = rows.withColumn("window_no", number).groupBy(*key).agg(*sums)
     if method == "ccdf":
         score = F.col("_above") / F.col("_rows")
     elif decimals is None:
         score = F.col("_plain") / F.col("_rows")
     else:
-        score = mean_of("_score", "_rows", decimals)
+        score = mean_of("_score", "_rows", F.col("_scale"))
     return grouped.withColumn("score", score)
 
 
 def _weighted(rows, lengths, single_negative, nab_total, nab_saturated, decimals, by, limits):
     """Mean of ``weight * score`` over the sum of the weights of the alarm, or of the whole group."""
-    decimals = DECIMALS if decimals is None else decimals
+    if decimals is None:
+        rows = _with_scale(rows, AUTO, by, limits)
     weigh = distance_weight_single if single_negative and nab_saturated else distance_weight
     rows = (
         rows.withColumn("window_length", lengths)
         .withColumn("window_no", window_number(F.col("window_length"), single_negative))
         .withColumn("_weight", weigh(hours_to_alarm(), F.col("window_length")))
     )
-    addends = limbs(F.col("_weight") * F.col("score"), "_score", decimals) | limbs(F.col("_weight"), "_weight")
+    weighted = F.col("_weight") * F.col("score")
+    addends = limbs(weighted, "_score", F.col("_scale")) | infinities(weighted, "_score") | limbs(F.col("_weight"), "_weight")
     grouped = rows.groupBy(*by, "window_length", "next_alarm", "window_no").agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(n) for n, c in addends.items()]
+        F.count(F.lit(1)).alias("_rows"),
+        F.max("_scale").alias("_scale"),
+        *[F.sum(c).alias(n) for n, c in addends.items()],
     )
     # One row per window is left here, no longer one per score.
     kept = [c for c in grouped.columns if c not in limb_names("_weight")]
@@ -193,7 +225,7 @@ def _weighted(rows, lengths, single_negative, nab_total, nab_saturated, decimals
         grouped = materialise(grouped)
         totals = grouped.groupBy(*by, "window_length").agg(*[F.sum(n).alias(n) for n in limb_names("_weight")])
         weighed = attach(grouped.select(*kept), materialise(totals), [*by, "window_length"], limits)
-    return weighed.withColumn("score", mean_of("_score", "_rows", decimals) / total_of("_weight"))
+    return weighed.withColumn("score", mean_of("_score", "_rows", F.col("_scale")) / total_of("_weight"))
 
 
 def _medians(rows, lengths, seconds, single_negative, by, limits):

@@ -120,6 +120,10 @@ def scored_mean(sign: str = "") -> str:
     scored AS (SELECT {KEY}, {sign}{from_units('mean')} AS score, {LABEL} FROM means)"""
 
 
+SCORED_DECIMAL = f"""
+    means AS (SELECT {KEY}, sum(CAST(score AS DECIMAL(30, 9))) AS total, count(*) AS n FROM windowed GROUP BY {KEY}),
+    scored AS (SELECT {KEY}, CAST(total AS DOUBLE) / n AS score, {LABEL} FROM means)"""
+
 SCORED_MEDIAN = f"""
     places AS (
         SELECT {KEY}, score, row_number() OVER (PARTITION BY {KEY} ORDER BY score) AS place,
@@ -319,6 +323,9 @@ ORACLE: dict[str, str] = {
     "surface_auc": auc_sql(scored_mean()),
     "surface_auc_missing_times": auc_sql(scored_mean()),
     "surface_auc_single": auc_sql(scored_mean(), single=True),
+    # Means as fractions of whole numbers, whose quotients are compared; the factor of the scores must not matter.
+    "surface_auc_tiny": auc_sql(SCORED_DECIMAL),
+    "surface_auc_huge": auc_sql(SCORED_DECIMAL),
     "surface_auc_rollup": auc_sql(scored_mean(), lengths=(0.5, 1, 1.5, 6)),
     "surface_auc_median": auc_sql(SCORED_MEDIAN),
     "surface_auc_ccdf": auc_sql(scored_ccdf(str(CCDF_THRESHOLD))),

@@ -117,6 +117,16 @@ def _curve(spark, folder):
     return al.roc_curve(*events(spark, folder)).select(*CURVE_COLUMNS)
 
 
+def _times(factor: float):
+    """All scores multiplied; no curve depends on that."""
+
+    def source(spark, folder):
+        scores, alarms = events(spark, folder)
+        return scores.withColumn("score", F.col("score") * F.lit(factor)), alarms
+
+    return source
+
+
 def _with_missing_times(spark, folder):
     """All scores, and all of them once more without their time."""
     scores, alarms = events(spark, folder)
@@ -257,6 +267,8 @@ QUERIES: dict[str, Query] = {
     "surface_auc": _surface(),
     "surface_auc_missing_times": _surface(source=_with_missing_times),
     "surface_auc_single": _surface(single_negative=True),
+    "surface_auc_tiny": _surface(source=_times(1e-15)),
+    "surface_auc_huge": _surface(source=_times(1e15)),
     "surface_auc_rollup": _surface(roll_up=True, grid=[0.5, 1, 1.5, 6]),
     "surface_auc_median": _surface("median"),
     "surface_auc_ccdf": _surface("ccdf", threshold=CCDF_THRESHOLD),

@@ -156,13 +156,32 @@ def test_large_sums(spark):
     assert scored.score == 9e14 + 1499.5
 
 
-def test_infinite_scores_are_reported(spark):
-    scores = spark.createDataFrame([("a", 0, 1.0), ("a", 1, float("inf"))], SCHEMA)
+def test_infinite_scores(spark):
+    inf = float("inf")
+    rows = [("a", 0, 1.0), ("a", 1, inf), ("b", 0, -inf), ("b", 1, 3.0), ("c", 0, inf), ("c", 1, -inf), ("d", 0, 1e-9), ("d", 1, 3e-9)]
     alarms = al.alarm_times(spark.createDataFrame([(60,)], "unix bigint"))
-    with pytest.raises(Exception, match="score infinite"):
-        al.score_windows(scores, alarms, [1]).collect()
-    assert al.score_windows(scores, alarms, [1], decimals=None).first().score == float("inf")
-    assert al.score_windows(scores, alarms, [1], "ccdf", threshold=2).first().score == 0.5
+    scores = spark.createDataFrame(rows, SCHEMA)
+    for method in ("mean", "NAB"):
+        found = {r.algorithm: r.score for r in al.score_windows(scores, alarms, [1], method).collect()}
+        assert found.keys() == {"a", "b", "d"}
+        assert (found["a"], found["b"]) == (inf, -inf) and 0 < found["d"] < 4e-9
+    assert al.score_windows(scores, alarms, [1], decimals=None).where("algorithm = 'a'").first().score == inf
+    assert al.score_windows(scores, alarms, [1], "ccdf", threshold=2).where("algorithm = 'a'").first().score == 0.5
+
+
+@pytest.mark.parametrize("method", ["mean", "NAB"])
+def test_the_scale_of_scores_does_not_matter(data, method):
+    _, _, scores, frame = data
+    alarms = al.alarm_times(frame)
+
+    def areas(power):
+        scaled = scores.withColumn("score", F.col("score") * F.lit(float(f"1e{power}")))
+        found = al.surface_auc(scaled, alarms, LENGTHS, method).collect()
+        return {(r.algorithm, r.window_length): None if r.auc is None else round(r.auc, 9) for r in found}
+
+    plain = areas(0)
+    for power in (-300, -13, 15, 300):
+        assert areas(power) == plain
 
 
 def test_small_scores_with_more_decimals(spark):
