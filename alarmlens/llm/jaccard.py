@@ -169,7 +169,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def _links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """A forest of exact links among the sets of one block.
+    """What exact links join among the sets of one block, as stars: each set with the first one of its kind.
 
     Sets are rows of a sparse incidence matrix. Rows reached by a link are multiplied, some at a time, with all rows that no
     link has reached yet; overlaps are summed by n-gram. A row stands in one product, and rows
@@ -192,14 +192,14 @@ def _links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[
     pointers, rows = by_column(alive)
     indexed = len(sets)
     frontier: list[int] = []
-    next_seed = 0
+    next_seed = seed = 0
     while True:
         if not frontier:
             while next_seed < len(sets) and not alive[next_seed]:
                 next_seed += 1
             if next_seed == len(sets):
                 return
-            frontier = [next_seed]
+            frontier, seed = [next_seed], int(nodes[next_seed])
             alive[next_seed] = False
         left = int(alive.sum())
         if not left:
@@ -222,7 +222,7 @@ def _links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[
         alive[near] = False
         frontier.extend(near.tolist())
         for j in near.tolist():
-            yield int(nodes[i]), int(nodes[j])
+            yield seed, int(nodes[j])
 
 
 def linked(blocks: DataFrame, percent: int) -> DataFrame:
