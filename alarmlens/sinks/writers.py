@@ -33,6 +33,16 @@ def write_curves(points: DataFrame, path: str, method: str = "mean", filtered: b
     _replace(tagged, path, "agg_method", "filtered", "algorithm", "window_length")
 
 
+def write_surface(points: DataFrame, path: str, method: str = "mean", filtered: bool = False) -> None:
+    """The rows of a surface, in folders by method, filtering and algorithm.
+
+    An algorithm's surface is replaced whole, so no window length of an earlier run stays beside those of ``points``; surfaces of
+    algorithms that ``points`` does not have stay. Keep it in another folder than single curves.
+    """
+    tagged = points.withColumns({"agg_method": F.lit(method), "filtered": F.lit(filtered)})
+    _replace(tagged, path, "agg_method", "filtered", "algorithm")
+
+
 def write_summary(auc: DataFrame, path: str) -> None:
     """Insert or replace the given ``(algorithm, window_size)`` keys of the stored AUC table."""
     _replace(auc.select(*SUMMARY_KEY, "auc"), path, *SUMMARY_KEY)

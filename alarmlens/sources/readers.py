@@ -93,7 +93,7 @@ def read_curves(
     method: str = "mean",
     filtered: bool = False,
 ) -> DataFrame:
-    """Stored curves or surfaces of one method; other folders and columns are not read."""
+    """What ``write_curves`` or ``write_surface`` stored for one method; other folders and columns are not read."""
     return _of_method(spark.read.schema(CURVES).parquet(path), method, filtered).select("algorithm", *columns)
 
 

@@ -370,6 +370,17 @@ ORACLE: dict[str, str] = {
     ),
     "curve_table": points_sql(lengths=(6,)),
     "surface_table": points_sql(),
+    "surface_rewrite": statement(
+        f"SELECT {', '.join(CURVE_COLUMNS)} FROM points",
+        EVENTS,
+        ANNOTATED,
+        EVEN_GRID,
+        windowed(own_grid=True),
+        scored_mean(),
+        CURVE,
+        points(True),
+    ),
+    "curve_beside_surface": points_sql(),
     "summarise_surface": statement(
         """
         SELECT algorithm, window_length,

@@ -189,6 +189,26 @@ def _stored_curves(grid) -> Query:
     return query
 
 
+def _surface_rewrite(spark, folder):
+    """A surface on the default grid, replaced by one on an even grid."""
+    path = scratch_path(spark, "surface")
+    scores, alarms = events(spark, folder)
+    alarms = al.alarm_times(alarms)
+    writers.write_surface(al.roc_surface(scores, alarms), path)
+    even = al.even_grid(al.next_alarm(scores, alarms), 5)
+    writers.write_surface(al.roc_surface(scores, alarms, even), path)
+    return readers.read_curves(spark, path, CURVE_COLUMNS[1:])
+
+
+def _curve_beside_surface(spark, folder):
+    """A surface, read back after a single curve of another method has been stored."""
+    surface, curves = scratch_path(spark, "surface"), scratch_path(spark, "curves")
+    source = events(spark, folder)
+    writers.write_surface(al.roc_surface(*source), surface)
+    writers.write_curves(al.roc_curve(*source, method="ccdf", threshold=CCDF_THRESHOLD), curves)
+    return readers.read_curves(spark, surface, CURVE_COLUMNS[1:])
+
+
 def _summarise_surface(spark, folder):
     path, summary_path = scratch_path(spark, "curves"), scratch_path(spark, "curve-summary")
     writers.write_curves(al.roc_surface(*events(spark, folder)), path)
@@ -295,6 +315,8 @@ QUERIES: dict[str, Query] = {
     "scores_by_day": _scores_by_day,
     "curve_table": _stored_curves([6]),
     "surface_table": _stored_curves(al.operators.windows.DEFAULT_GRID),
+    "surface_rewrite": _surface_rewrite,
+    "curve_beside_surface": _curve_beside_surface,
     "summarise_surface": _summarise_surface,
     "random_baseline": _random_baseline,
     "summary_upsert": _summary_upsert,

@@ -104,3 +104,13 @@ def test_curves_of_several_methods_in_one_table(spark, tmp_path):
     summary, stored = al.summarise_surface(points), f"{tmp_path}/summary"
     writers.write_surface_summary(summary, stored)
     assert {tuple(r) for r in readers.read_surface_summary(spark, stored).collect()} == {("7", 6.0, 1.0), ("7", 12.0, 0.0)}
+
+
+def test_a_surface_is_replaced_whole(spark, tmp_path):
+    rows = [(a, w, s, s > 0.5) for a in ("x", "y") for w in (2.0, 6.0) for s in (0.2, 0.9)]
+    points = al.roc_points(spark.createDataFrame(rows, "algorithm string, window_length double, score double, label boolean"))
+    path = f"{tmp_path}/surface"
+    writers.write_surface(points, path)
+    writers.write_surface(points.where("algorithm = 'x' and window_length = 2").withColumn("window_length", F.lit(3.0)), path)
+    kept = readers.read_curves(spark, path).select("algorithm", "window_length").distinct().collect()
+    assert {tuple(r) for r in kept} == {("x", 3.0), ("y", 2.0), ("y", 6.0)}
