@@ -1,8 +1,8 @@
 """N-gram Jaccard join: sparse products of documents by n-grams, in blocks of documents that can be linked at all.
 
-Equal sets are merged first. Documents whose rarest n-grams (the prefix that any link must share) touch form groups;
-only inside a group are overlaps counted, by products of blocks of the incidence matrix, after pairs of too different
-sizes are discarded. Groups beyond a bound are cut, and every two pieces meet in a block of their own.
+Equal sets are merged first. The sizes of two linked sets bound by how many n-grams they differ. N-grams are dealt by hash into
+more parts than that, so linked sets agree in a whole part; sets that agree in one form groups. Only inside a group are
+overlaps counted, by products of blocks of the incidence matrix, after pairs of too different sizes are discarded.
 """
 
 from __future__ import annotations
@@ -14,17 +14,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alarmlens.llm.common import small, stored
 
 WINDOW, PERCENT = 4, 85
-_BINS = 1 << 22  # counters of the rarity table: 4 MB of logarithms, whatever the corpus
-_PIECES = 64
-_AT_ONCE = 2_000_000  # n-grams counted in one go
-SHARED = 1_500_000  # n-grams in a broadcast: two numbers each
+LEVELS = 3  # dealings before all sets with too many empty parts meet
+SHARED = 1_500_000  # marks in a broadcast: two numbers each
 BLOCK_GRAMS = 4_000_000  # n-grams of one block; 32 MB of hashes
+PILOTS = 8  # a cut group's pilots, which join every block of it, take this part of a block
 
 
 _SPACE = np.zeros(256, bool)
@@ -77,72 +76,66 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def rarity(docs: DataFrame, window: int) -> np.ndarray:
-    """Base-2 logarithms of how many documents have an n-gram, by its lowest bits; fixed in size.
+SIGNATURES = "doc_id long, n long, node long, marks array<long>"
 
-    N-grams that share a counter look commoner than they are, which costs time but no link: any order
-    that all documents use is right.
-    """
 
-    def count(batches):
-        total, hasher = np.zeros(_BINS, np.uint32), Hasher(window)
-        held, waiting = [], 0
-        for batch in batches:
-            for text in _texts(batch):
-                held.append((hasher(text) & np.uint64(_BINS - 1)).astype(np.int32))
-                waiting += len(held[-1])
-                if waiting > _AT_ONCE:
-                    total += np.bincount(np.concatenate(held), minlength=_BINS).astype(np.uint32)
-                    held, waiting = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=_BINS).astype(np.uint32)
-        pack = zstandard.ZstdCompressor(level=1)
-        parts = np.minimum(total, 65535).astype(np.uint16).reshape(_PIECES, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_PIECES), pa.int32()), pa.array([pack.compress(p.tobytes()) for p in parts], pa.binary())], ["piece", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for piece, counts in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist()):
-                sums[piece] = sums.get(piece, 0) + np.frombuffer(unpack.decompress(counts), np.uint16).astype(np.int64)
-        logs = [np.log2(v + 1).astype(np.uint8).tobytes() for v in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs, pa.binary())], ["piece", "counts"])
+def _node(grams: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(grams.tobytes()), "big", signed=True)
 
-    kind = "piece int, counts binary"
-    found = docs.select("text").mapInArrow(count, kind).repartition("piece").mapInArrow(add, kind).toArrow()
-    table = np.zeros((_PIECES, _BINS // _PIECES), np.uint8)
-    for piece, logs in zip(found["piece"].to_pylist(), found["counts"].to_pylist()):
-        table[piece] = np.frombuffer(logs, np.uint8)
-    return table.reshape(-1)
 
+def _mixed(values: np.ndarray, salt: int) -> np.ndarray:
+    values = (values ^ np.uint64(salt)) * np.uint64(_FACTOR)
+    values ^= values >> np.uint64(32)
+    values *= np.uint64(0xD6E8FEB86659FD93)
+    return values ^ (values >> np.uint64(32))
 
-SIGNATURES = "doc_id long, n long, node long, prefix array<long>"
 
+def marks_of(grams: np.ndarray, percent: int) -> np.ndarray:
+    """Marks of a set, of which any two linked but different sets share one.
 
-def _node(grams: np.ndarray) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(grams.tobytes()), "big", signed=True)
+    Sets of linkable size stand in one size class or in neighbours; a set takes the marks of its own and the next one. In
+    a class, linked sets differ by at most ``apart`` n-grams. Of ``apart + 1 + spare`` parts at least ``1 + spare``
+    are then equal, and one of these is not empty unless both sets have more than ``spare`` empty parts. Such sets
+    are dealt again in another way, and after the last dealing they share a mark.
+    """
+    ratio = math.log(100 / (percent - 0.1))
+    own = math.floor(math.log(len(grams)) / ratio)
+    found = []
+    for kind in (own, own + 1):
+        apart = int(2 * math.exp((kind + 1) * ratio) * (100 - percent) / (100 + percent) + 1e-6)
+        if not apart:
+            continue
+        spare = 1 + apart // 16
+        parts = apart + 1 + spare
+        for level in range(LEVELS):
+            mixed = _mixed(grams, (kind + 2) * LEVELS + level)
+            part = (mixed >> np.uint64(32)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            part, sums = part[order], np.cumsum(_mixed(mixed[order], level))
+            ends = np.flatnonzero(np.append(part[1:] != part[:-1], True))
+            content = np.diff(sums[ends], prepend=np.uint64(0))
+            found.append(_mixed(content ^ _mixed(part[ends], kind * LEVELS + level + 7), kind + 3))
+            if parts - len(ends) <= spare:
+                break
+        else:
+            found.append(_mixed(np.array([kind], np.uint64), 1))
+    return np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
 
 
 def signatures(docs: DataFrame, window: int, percent: int) -> DataFrame:
-    """Each row's set size, the name of its set (``node``), and the prefix that a linked set has to touch."""
-    table = docs.sparkSession.sparkContext.broadcast(rarity(docs, window))
+    """Each row's set size, the name of its set (``node``), and the marks of which linked sets share one."""
 
     def run(batches):
-        hasher, logs = Hasher(window), table.value
+        hasher = Hasher(window)
         for batch in batches:
-            n, node, prefix = [], [], []
+            n, node, marks = [], [], []
             for text in _texts(batch):
                 grams = hasher(text)
-                size = len(grams)
-                n.append(size)
-                node.append(_node(grams) if size else None)
-                # Of two linked sets each holds at least this share of the other.
-                length = size - -(-percent * size // 100) + 1 if size else 0
-                order = np.lexsort((grams, logs[(grams & np.uint64(_BINS - 1)).astype(np.int64)]))
-                prefix.append(grams[order[:length]].view(np.int64))
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "prefix"])
+                n.append(len(grams))
+                node.append(_node(grams) if len(grams) else None)
+                marks.append(marks_of(grams, percent) if len(grams) else grams.view(np.int64))
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(marks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "marks"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURES)
 
@@ -258,12 +251,58 @@ def sets_of(rows: DataFrame, window: int) -> DataFrame:
         hasher, pack = Hasher(window), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             sets = [hasher(t) for t in _texts(batch)]
-            same = pa.array([len(s) > 0 and _node(s) == k for s, k in zip(sets, batch.column("node").to_pylist())])
+            same = pa.array([len(s) > 0 and _node(s) == k for s, k in zip(sets, batch.column("node").to_pylist())], pa.bool_())
             grams = pa.array([pack.compress(s.tobytes()) for s in sets], pa.binary())
-            columns = [batch.column("root"), batch.column("node"), batch.column("pieces"), grams]
-            yield pa.RecordBatch.from_arrays(columns, ["root", "node", "pieces", "grams"]).filter(same)
+            columns = [batch.column("node"), batch.column("blocks"), grams]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "blocks", "grams"]).filter(same)
 
-    return rows.select("root", "node", "pieces", "text").mapInArrow(run, "root long, node long, pieces long, grams binary")
+    return rows.select("node", "blocks", "text").mapInArrow(run, "node long, blocks array<long>, grams binary")
+
+
+def links_in_blocks(docs: DataFrame, wanted: DataFrame, window: int, percent: int) -> DataFrame:
+    """Links among the sets ``wanted`` (``lowest, node, blocks``): each set is made once from its text and goes to all its blocks."""
+    rows = docs.select(F.col("doc_id").alias("lowest"), "text")
+    with_text = rows.join(small(wanted), rows["lowest"].eqNullSafe(wanted["lowest"]))
+    dealt = sets_of(with_text, window).withColumn("block", F.explode("blocks")).select("block", "node", "grams")
+    return linked(dealt.repartition("block").sortWithinPartitions("block", "node"), percent)
+
+
+def _numbers(n: Column) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), n - 1)
+
+
+def _own(pieces: Column, salt: str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), pieces)
+
+
+def first_blocks(sets: DataFrame) -> DataFrame:
+    """A group within the bound is one block. A larger one is cut, and its pilots stand in every piece, so that pieces of near copies connect."""
+    pieces = F.col("pieces")
+    pilot = (pieces > 1) & (_own(pieces * PILOTS, "pilot") == 0)
+    numbers = F.when(pilot, _numbers(pieces)).otherwise(F.array(_own(pieces, "piece")))
+    return sets.select("lowest", "node", F.transform(numbers, lambda i: F.xxhash64("root", i)).alias("blocks"))
+
+
+def rest_blocks(sets: DataFrame, reached: DataFrame, block_grams: int) -> DataFrame:
+    """Blocks in which the sets outside the largest cluster of a cut group meet all sets of it; none if it is one cluster.
+
+    What the pilots connected needs no block, so the copies made follow the size of the rest, not the square of the group.
+    """
+    cut = sets.where("pieces > 1").join(reached.withColumnRenamed("root", "_cluster"), "node", "left")
+    cut = stored(cut.withColumn("cluster", F.coalesce("_cluster", "node")).drop("_cluster"), "clusters")
+    sums = cut.groupBy("root", "cluster").agg(F.sum("n").alias("grams"))
+    groups = sums.groupBy("root").agg(F.max(F.struct("grams", "cluster")).alias("main"), F.sum("grams").alias("all"))
+    groups = groups.where(F.col("all") > F.col("main.grams")).select(
+        "root",
+        F.col("main.cluster").alias("main"),
+        F.ceil((F.col("all") - F.col("main.grams")) / F.lit(block_grams)).cast("bigint").alias("slices"),
+    )
+    found = cut.join(small(groups), "root")
+    block = lambda i, j: F.xxhash64("root", F.lit("rest"), i, j)
+    every = F.transform(_numbers(F.col("slices")), lambda i: block(i, _own(F.col("pieces"), "piece")))
+    rest = F.transform(_numbers(F.col("pieces")), lambda j: block(_own(F.col("slices"), "slice"), j))
+    blocks = F.when(F.col("cluster") == F.col("main"), every).otherwise(F.array_union(every, rest))
+    return found.select("lowest", "node", blocks.alias("blocks"))
 
 
 def jaccard_components(docs: DataFrame, window: int = WINDOW, percent: int = PERCENT, block_grams: int = BLOCK_GRAMS) -> DataFrame:
@@ -274,35 +313,25 @@ def jaccard_components(docs: DataFrame, window: int = WINDOW, percent: int = PER
     with nothing and are their own component. NULL ids are never the smallest; a component of them alone has a NULL id.
     """
     marks = stored(signatures(docs, window, percent), "signatures")
-    nodes = stored(
-        marks.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lowest"), F.min("n").alias("n")), "nodes"
-    )
-    postings = marks.where("n > 0").select("node", F.explode("prefix").alias("gram"))
-    shared = postings.groupBy("gram").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other < last")
-    shared = stored(shared.select("gram"), "shared-grams")
-    # Sets of linkable size share a class or are neighbours in it; a set stands in its own and in the next one.
-    size_class = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / (percent - 0.1)))).cast("int")
-    sized = marks.where("n > 0").select("node", size_class.alias("size"), F.explode("prefix").alias("gram"))
-    sized = sized.join(small(shared.select("gram"), SHARED), "gram", "left_semi").distinct()
-    sized = stored(sized.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") + 1))), "sized-grams")
-    near = sized.groupBy("gram", "size").agg(F.min("node").alias("other"), F.max("node").alias("last"))
-    near = near.where("other < last").select("gram", "size", "other")
-    touch = sized.join(small(near, SHARED), ["gram", "size"]).where("node <> other").select("node", "other").distinct()
+    full = marks.where("n > 0")
+    nodes = stored(full.groupBy("node").agg(F.min("doc_id").alias("lowest"), F.min("n").alias("n")), "nodes")
+    postings = full.select("node", F.explode("marks").alias("mark"))
+    near = postings.groupBy("mark").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other < last")
+    near = stored(near.select("mark", "other"), "shared-marks")
+    touch = postings.join(small(near, SHARED), "mark").where("node <> other").select("node", "other").distinct()
     groups = components(stored(touch, "touching"), "touch")
 
     # How many pieces a group is cut into, from the n-grams of all its sets.
     sized = groups.join(nodes, "node")
     pieces = sized.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block_grams)).cast("bigint").alias("pieces"))
-    wanted = stored(sized.join(pieces, "root").select("lowest", "node", "root", "pieces"), "wanted")
-    rows = docs.select(F.col("doc_id").alias("lowest"), "text")
-    with_text = rows.join(small(wanted), F.expr("true") & rows["lowest"].eqNullSafe(wanted["lowest"]))
-    sets = sets_of(with_text, window)
-    piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("node"), "pieces")).otherwise(F.lit(0).cast("bigint"))
-    sets = sets.withColumn("_piece", piece).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
-    block = F.xxhash64("root", F.least("_piece", "_with"), F.greatest("_piece", "_with"))
-    dealt = sets.select(block.alias("block"), "node", "grams").repartition("block").sortWithinPartitions("block", "node")
-    links = stored(linked(dealt, percent), "links")
+    sets = stored(sized.join(pieces, "root").select("lowest", "node", "n", "root", "pieces"), "wanted")
+    links = stored(links_in_blocks(docs, first_blocks(sets), window, percent), "links")
     linked_nodes = components(links, "links")
+    if not sets.where("pieces > 1").isEmpty():
+        wanted = stored(rest_blocks(sets, linked_nodes, block_grams), "rest")
+        if not wanted.isEmpty():
+            more = links_in_blocks(docs, wanted, window, percent).union(linked_nodes.select("node", F.col("root").alias("other")))
+            linked_nodes = components(stored(more, "more-links"), "more-links")
 
     lowest = linked_nodes.join(nodes, "node").groupBy("root").agg(F.min("lowest").alias("component_id"))
     named = linked_nodes.join(lowest, "root").select("node", "component_id")

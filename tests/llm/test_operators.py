@@ -155,6 +155,42 @@ def test_jaccard_components(spark, texts, block_grams):
     assert got == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_linked_sets_share_a_mark(percent):
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 40), 60, 127, 250, 1000, 5000] * 3:
+        grams = np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64))
+        changed = 0
+        while 100 * (n - changed - 1) >= percent * (n + changed + 1):
+            changed += 1
+        shorter = -(-percent * n // 100)
+        fresh = rng.integers(1, 1 << 63, changed, dtype=np.uint64)
+        for other in (np.unique(np.append(grams[changed:], fresh)), grams[:shorter], grams[n - shorter :]):
+            if len(np.setxor1d(grams, other)):
+                assert np.intersect1d(jaccard.marks_of(grams, percent), jaccard.marks_of(other, percent)).size
+    far = [jaccard.marks_of(np.unique(rng.integers(1, 1 << 63, 250, dtype=np.uint64)), 85) for _ in range(300)]
+    every = np.concatenate([np.unique(m) for m in far])
+    assert len(np.unique(every)) == len(every)
+
+
+def test_jaccard_cut_group_with_a_rest(spark):
+    """Chains of near copies that touch but do not link: the rest meets the largest cluster in blocks of its own."""
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for chain in range(3):
+        base = [f"{chain}x{w}" if i < 9 * chain else w for i, w in enumerate(words)]
+        texts += [" ".join(base[:-1] + [f"{chain}-{k}"]) for k in range(14)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, list(enumerate(texts))), block_grams=150).collect()}
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(57)} for t in texts]
+    low = list(range(len(texts)))
+    for _ in texts:
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if 100 * len(x & y) >= 85 * len(x | y):
+                    low[a] = min(low[a], low[b])
+    assert got == dict(enumerate(low))
+
+
 def test_mixing(spark, texts):
     sources = {5: "big", 6: "b", 7: None, 9: "a", 10: "a"}
     docs = frame(spark, texts, sources)
