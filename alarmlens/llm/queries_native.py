@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alarmlens.llm import chat, decontaminate, lines, mixing
+from alarmlens.llm import chat, decontaminate, lines, merkle, mixing
 from alarmlens.llm.common import table
 
 
@@ -40,11 +40,16 @@ def op10_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", digest)
 
 
+def op13_merkle(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_mixing": op6_mixing,
     "op7_chat": op7_chat,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle": op13_merkle,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,6 +58,13 @@ _WORDS4 = (
     + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 
+# crc32 of an id's decimal digits, bit by bit
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::bigint],
+    list_transform(string_split(coalesce(doc_id::varchar, ''), ''), lambda c: ascii(c)::bigint)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))))"""
+_FIELD = "coalesce(octet_length(encode({0}::varchar)) || ':' || {0}::varchar, '-')"
+_FIELDS = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD.format("({text})")
+
 ORACLE = {
     "op4_decontamination": f"""
         with item as (select item_id, {_WORDS4} w from benchmark),
@@ -119,4 +131,52 @@ ORACLE = {
                sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) kept_sha256
         from j group by doc_id
     """,
+    "op13_merkle": f"""
+        with recursive d as (
+            select doc_id, source, sha256({_FIELDS.format(text="text")}) leaf,
+                   sha256({_FIELDS.format(text="case when crc % 2 = 0 then replace(text, chr(10), '') else text end")}) start
+            from (select *, {_CRC32} crc from documents)),
+        sub as (
+            select source, 0 lev, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 pos,
+                   count(*) over (partition by source) n, leaf d from d
+            union all
+            select source, lev + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(d, '' order by pos))
+            from sub where n > 1 group by source, lev, pos // 3),
+        tops as (select source, d from sub where n = 1),
+        top as (
+            select 0 lev, row_number() over (order by source nulls first) - 1 pos, count(*) over () n, d from tops
+            union all
+            select lev + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(d, '' order by pos))
+            from top where n > 1 group by lev, pos // 3),
+        root as (select d root from top where n = 1),
+        docs as (
+            select doc_id, d.source, leaf, start, row_number() over (partition by d.source order by doc_id nulls first, leaf) - 1 pos,
+                   tops.d subroot, s.sid, s.height
+            from d join (select source, row_number() over (order by source nulls first) - 1 sid, max(lev) height
+                         from sub group by source) s on d.source is not distinct from s.source
+                   join tops on d.source is not distinct from tops.source),
+        sides as (
+            select doc_id, docs.pos me, sid, lev, sub.pos p, sub.d, sub.pos < docs.pos // power(3, lev)::bigint l
+            from docs join sub on docs.source is not distinct from sub.source and sub.n > 1
+                 and sub.pos // 3 = docs.pos // power(3, lev + 1)::bigint and sub.pos <> docs.pos // power(3, lev)::bigint
+            union all
+            select doc_id, docs.pos, sid, height + lev, top.pos, top.d, top.pos < sid // power(3, lev)::bigint
+            from docs join top on top.n > 1
+                 and top.pos // 3 = sid // power(3, lev + 1)::bigint and top.pos <> sid // power(3, lev)::bigint),
+        steps as (
+            select sid, me, lev, coalesce(string_agg(d, '' order by p) filter (l), '') l,
+                   coalesce(string_agg(d, '' order by p) filter (not l), '') r, string_agg(d, '' order by p) whole
+            from sides group by sid, me, lev),
+        proofs as (select sid, me, sha256(string_agg(whole, '' order by lev)) proof from steps group by sid, me),
+        heights as (select (select max(lev) from top) above),
+        fold as (
+            select sid, pos, 0 lev, height + above height, start d from docs, heights
+            union all
+            select f.sid, f.pos, f.lev + 1, height, sha256(coalesce(l, '') || d || coalesce(r, ''))
+            from fold f left join steps s on s.sid = f.sid and s.me = f.pos and s.lev = f.lev where f.lev < height)
+        select doc_id, leaf, subroot, root, coalesce(proof, sha256('')) proof_sha256, fold.d folded_root,
+               fold.d = root verified
+        from docs join fold on docs.sid = fold.sid and docs.pos = fold.pos and fold.lev = fold.height
+             left join proofs on proofs.sid = docs.sid and proofs.me = docs.pos, root
+    """,
 }
