@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alarmlens.llm import hmm, jaccard, quality, repeats, token_files, toxicity
+from alarmlens.llm import hmm, jaccard, quality, repeats, token_files, toxicity, whitening
 from alarmlens.llm.common import table
 
 
@@ -41,4 +41,16 @@ def op9_repeats(spark, sf_dir):
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_token_files": op2_token_files, "op3_toxicity": op3_toxicity, "op8_hmm": op8_hmm, "op5_jaccard": op5_jaccard, "op9_repeats": op9_repeats}
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_token_files": op2_token_files,
+    "op3_toxicity": op3_toxicity,
+    "op5_jaccard": op5_jaccard,
+    "op8_hmm": op8_hmm,
+    "op9_repeats": op9_repeats,
+    "op12_whitening": op12_whitening,
+}
