@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alarmlens.llm import hmm, jaccard, quality, repeats, token_files, toxicity, whitening
+from alarmlens.llm import hmm, jaccard, language, quality, repeats, token_files, toxicity, whitening
 from alarmlens.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op9_repeats(spark, sf_dir):
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_language(spark, sf_dir):
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -52,5 +56,6 @@ QUERIES = {
     "op5_jaccard": op5_jaccard,
     "op8_hmm": op8_hmm,
     "op9_repeats": op9_repeats,
+    "op11_language": op11_language,
     "op12_whitening": op12_whitening,
 }
