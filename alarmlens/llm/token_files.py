@@ -6,11 +6,15 @@ they can lie wherever Spark writes.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, count, islice
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,105 +28,132 @@ from alarmlens.llm.common import stored
 
 END_ID = 1
 PAGE_IDS = 1 << 18  # ids after which a page ends; a longer document has a page of its own
-CACHED_WORDS = 600_000  # words whose ids a task remembers before it starts anew
-_SUFFIX = b".,!|*$%&#"  # ASCII signs that part from the letters before them in every case
+CACHED_WORDS = 900_000  # words whose ids a worker remembers before it starts anew: some 200 MB
+_PER_CALL = 64  # words that go through the library in one string
+_SIGNS = r"!-&(-/:;=?-@\[-`{-~"  # ASCII without ', which may stand for a contraction, and <, which may begin a special token
+_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"  # letters whose lower case is one letter
+_PLAIN = re.compile(rf"([{_SIGNS}]*)[{_LETTERS}]+([{_SIGNS}]*)")  # signs, letters and signs are a piece each
+
+
+def _gather(pool: np.ndarray, spans: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some entries in a row, and how many each has."""
+    starts, own = spans[0][which], spans[1][which]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.arange(total) + np.repeat(starts - ends + own, own)], own
 
 
 class WordEncoder:
     """Ids of whole texts, from the ids of their distinct words.
 
-    For vocabularies that drop white space and treat case alike: there, the ids of a text are those of
-    its words, one after the other. Each distinct word goes through the library once.
+    Where a vocabulary drops white space, the ids of a text are those of its words, one after the other, and each distinct word goes
+    through the library once. Whether that holds is read from the tokenizer's settings; with any other tokenizer whole texts go through it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, settings: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(settings)
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if max(vocabulary.values()) >= 1 << 16:
+            raise ValueError("ids beyond 65,535 have no place in the packed form")
+        settings = json.loads(settings)
+        self.by_word = _drops_space(settings)
+        self.folds = self.by_word and any(n["type"] == "Lowercase" for n in _steps(settings, "normalizer"))
+        self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self):
         self.place: defaultdict[bytes, int] = defaultdict(count().__next__)
-        # A word is a stem and a suffix, which may be empty (number 0); each of these has its ids in the pool.
-        self.parts = np.empty((0, 2), np.int64)
-        self.stems: dict[bytes, int] = {b"": 0}
-        self.sizes, self.pool = np.zeros(1, np.int64), np.empty(0, np.uint16)
-        self.starts = np.zeros(1, np.int64)
+        self.spans = np.empty((2, 0), np.int64)  # start in the pool and number of ids of each word
+        self.pool = np.empty(0, np.uint16)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_stems(self, stems: list[bytes]) -> None:
-        """Words of letters alone share a call, parted again at their word ends; all others have a call each."""
-        single, plain = [], []
-        for stem in stems:
-            letters = stem.isalpha() or (not stem.isascii() and stem.decode().isalpha())
-            (plain if letters else single).append(stem)
-        named, found, sizes = [], [self.pool], []
-        chunks = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        for chunk, ids in zip(chunks, self._encode([b" ".join(c).decode() for c in chunks])):
-            ids = np.array(ids, np.uint16)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(chunk) and cuts[-1] == len(ids):
-                named += chunk
-                found.append(ids)
-                sizes.append(np.diff(cuts, prepend=0))
-            else:
-                single += chunk
-        alone = self._encode([s.decode() for s in single])
-        named += single
-        found.append(np.fromiter(chain.from_iterable(alone), np.uint16))
-        sizes.append(np.fromiter(map(len, alone), np.int64, len(alone)))
-        self.stems.update(zip(named, range(len(self.stems), len(self.stems) + len(named))))
-        self.pool = np.concatenate(found)
-        self.sizes = np.concatenate([self.sizes, *sizes])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def _learn(self, words: list[bytes]) -> None:
-        stems, suffixes = [], []
-        for word in words:
-            stem = word.rstrip(_SUFFIX)
-            # The suffix stands alone only behind a letter or digit.
-            last = stem[-1:]
-            if len(stem) < len(word) and (last.isalnum() or (last > b"\x7f" and stem.decode()[-1].isalnum())):
-                stems.append(stem)
-                suffixes.append(word[len(stem) :])
-            else:
-                stems.append(word)
-                suffixes.append(b"")
-        self._learn_stems([s for s in dict.fromkeys(chain(stems, suffixes)) if s not in self.stems])
-        number = self.stems.__getitem__
-        new = [np.fromiter(map(number, side), np.int64, len(words)) for side in (stems, suffixes)]
-        self.parts = np.concatenate([self.parts, np.stack(new, axis=1)])
+    def _learn(self, words: list[str]) -> None:
+        """Words of a known number of pieces share a call, parted again at the ends of their pieces; others have a call each."""
+        matches = map(_PLAIN.fullmatch, words)
+        pieces = np.fromiter((1 + bool(m[1]) + bool(m[2]) if m else 0 for m in matches), np.int64, len(words))
+        order, found, sizes, alone = [], [], [], [np.flatnonzero(pieces == 0)]
+        plain = np.flatnonzero(pieces)
+        for at in range(0, len(plain), _PER_CALL):
+            chunk = plain[at : at + _PER_CALL]
+            ids = np.array(self._encode([" ".join([words[i] for i in chunk])])[0], np.uint16)
+            cuts, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(pieces[chunk])
+            if len(cuts) != last[-1] or cuts[-1] != len(ids):
+                alone.append(chunk)
+                continue
+            order.append(chunk)
+            found.append(ids)
+            sizes.append(np.diff(cuts[last - 1], prepend=0))
+        order.append(np.concatenate(alone))
+        single = self._encode([words[i] for i in order[-1]])
+        found.append(np.fromiter(chain.from_iterable(single), np.uint16))
+        sizes.append(np.fromiter(map(len, single), np.int64, len(single)))
+        sizes = np.concatenate(sizes)
+        spans = np.empty((2, len(words)), np.int64)
+        spans[:, np.concatenate(order)] = len(self.pool) + np.cumsum(sizes) - sizes, sizes
+        self.spans = np.concatenate([self.spans, spans], axis=1)
+        self.pool = np.concatenate([self.pool, *found])
+
+    def _words(self, text: str | None) -> list[bytes]:
+        """Words in lower case where that changes nothing: special tokens are told by their case, and so are some letters before
+        combining marks, whose first byte in UTF-8 is CC or CD."""
+        raw = (text or "").encode()
+        if not self.folds or b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw:
+            return raw.split()
+        return raw.lower().split()
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many of them each text has."""
+        if not self.by_word:
+            ids = self._encode([t or "" for t in texts])
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), np.uint16, int(counts.sum())), counts
         if len(self.place) > CACHED_WORDS:
             self._forget()
-        lists = []
-        for text in texts:
-            raw = (text or "").encode()
-            # Special tokens are told by their case, so words that may hold one keep theirs.
-            if b"<|" in raw:
-                lists.append([w if b"<|" in w else w.lower() for w in raw.split()])
-            else:
-                lists.append(raw.lower().split())
+        lists = [self._words(text) for text in texts]
         known = len(self.place)
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         which = np.fromiter(map(self.place.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
         if len(self.place) > known:
-            self._learn(list(islice(self.place, known, None)))
-        parts = self.parts[which].reshape(-1)
-        own = self.sizes[parts]
-        ends = np.cumsum(own)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.arange(total) - np.repeat(ends - own - self.starts[parts], own)]
-        ends = np.concatenate([[0], ends])
-        return ids, np.diff(ends[2 * np.concatenate([[0], np.cumsum(counts)])])
+            self._learn([w.decode() for w in islice(self.place, known, None)])
+        ids, own = _gather(self.pool, self.spans, which)
+        ends = np.concatenate([[0], np.cumsum(own)])
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+
+
+# The parts of tokenizer files that give the words of a text the same ids as the text. A pattern of the second form
+# matches no white space.
+_BY_SIGN = ("NFC", "Lowercase")
+_SPACES = {"Regex": r"\s+"}
+_NO_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _steps(settings: dict, part: str) -> list[dict]:
+    step = settings[part]
+    if step is None:
+        return []
+    inner = {"normalizer": "normalizers", "pre_tokenizer": "pretokenizers"}[part]
+    return step[inner] if step["type"] == "Sequence" else [step]
+
+
+def _drops_space(settings: dict) -> bool:
+    """Whether only white space parts words, none of it is kept, and no special token can span it."""
+    normal = _steps(settings, "normalizer")
+    by_sign = all(
+        n["type"] in _BY_SIGN or (n["type"] == "Replace" and n["pattern"] == _SPACES and n["content"] == " ") for n in normal
+    )
+    first, *rest = _steps(settings, "pre_tokenizer") or [{}]
+    splits = first.get("type") == "Split" and first["pattern"] == {"Regex": _NO_SPACE}
+    splits = splits and first["behavior"] == "Removed" and first["invert"]
+    plain = all(r["type"] == "ByteLevel" and not r["add_prefix_space"] and not r["use_regex"] for r in rest)
+    special = all(t["content"].startswith("<|") and not set(t["content"]) & set(" \t\n\v\f\r") for t in settings["added_tokens"])
+    special = special and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in settings["added_tokens"])
+    return by_sign and splits and plain and special
 
 
 def _groups(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -137,11 +168,21 @@ def _groups(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+@lru_cache(maxsize=1)
+def _encoder(settings: str) -> WordEncoder:
+    """One per Python worker: the words that a task has learned serve the next one, too."""
+    return WordEncoder(settings)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``doc_id, ids``: the ids of each whole text with the end id, packed; NULL texts are empty."""
+    """``doc_id, ids``: the ids of each whole text with the end id, packed; NULL texts are empty.
+
+    The driver reads the tokenizer's file; tasks get its content, so executors need not hold it.
+    """
+    settings = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
 
     def run(batches):
-        encoder, pack = WordEncoder(tokenizer_path), zstandard.ZstdCompressor(level=1)
+        encoder, pack = _encoder(settings.value), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for start, stop in _groups(texts):
