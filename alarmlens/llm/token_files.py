@@ -29,10 +29,10 @@ from alarmlens.llm.common import stored
 END_ID = 1
 PAGE_IDS = 1 << 18  # ids after which a page ends; a longer document has a page of its own
 CACHED_WORDS = 900_000  # words whose ids a worker remembers before it starts anew: some 200 MB
-_PER_CALL = 64  # words that go through the library in one string
+_PER_CALL = 256  # words that go through the library in one string
 _SIGNS = r"!-&(-/:;=?-@\[-`{-~"  # ASCII without ', which may stand for a contraction, and <, which may begin a special token
 _LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"  # letters whose lower case is one letter
-_PLAIN = re.compile(rf"([{_SIGNS}]*)[{_LETTERS}]+([{_SIGNS}]*)")  # signs, letters and signs are a piece each
+_PLAIN = re.compile(rf"([{_SIGNS}]*)([{_LETTERS}]+)([{_SIGNS}]*)")  # signs, letters and signs are a unit and a piece each
 
 
 def _gather(pool: np.ndarray, spans: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +58,13 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids beyond 65,535 have no place in the packed form")
-        settings = json.loads(settings)
-        self.by_word = _drops_space(settings)
-        self.folds = self.by_word and any(n["type"] == "Lowercase" for n in _steps(settings, "normalizer"))
+        parts = json.loads(settings)
+        self.by_word = _drops_space(parts)
+        if self.by_word:
+            self.folds = any(n["type"] == "Lowercase" for n in _steps(parts, "normalizer"))
+            # For plain units alone: the same model behind a cut at white space, which is all that they need.
+            cut = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *_steps(parts, "pre_tokenizer")[1:]]}
+            self.plain = Tokenizer.from_str(json.dumps({**parts, "normalizer": None, "pre_tokenizer": cut, "added_tokens": []}))
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
@@ -73,31 +77,36 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_plain(self, words: list[tuple[str, ...]]) -> np.ndarray:
+        text = " ".join([unit for word in words for unit in word if unit])
+        return np.array(self.plain.encode_batch_fast([text.lower() if self.folds else text], add_special_tokens=False)[0].ids, np.uint16)
+
     def _learn(self, words: list[str]) -> None:
-        """Words of a known number of pieces share a call, parted again at the ends of their pieces; others have a call each."""
-        matches = map(_PLAIN.fullmatch, words)
-        pieces = np.fromiter((1 + bool(m[1]) + bool(m[2]) if m else 0 for m in matches), np.int64, len(words))
-        order, found, sizes, alone = [], [], [], [np.flatnonzero(pieces == 0)]
-        plain = np.flatnonzero(pieces)
+        """Words of plain units share a call, parted again at the ends of their pieces; others have a call each."""
+        found = list(map(_PLAIN.fullmatch, words))
+        plain = np.flatnonzero(np.fromiter((m is not None for m in found), bool, len(words)))
+        order, ids_of, sizes, alone = [], [], [], [np.flatnonzero(np.fromiter((m is None for m in found), bool, len(words)))]
         for at in range(0, len(plain), _PER_CALL):
             chunk = plain[at : at + _PER_CALL]
-            ids = np.array(self._encode([" ".join([words[i] for i in chunk])])[0], np.uint16)
-            cuts, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(pieces[chunk])
+            units = [found[i].groups() for i in chunk]
+            last = np.cumsum([1 + bool(before) + bool(behind) for before, _, behind in units])
+            ids = self._encode_plain(units)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != last[-1] or cuts[-1] != len(ids):
                 alone.append(chunk)
                 continue
             order.append(chunk)
-            found.append(ids)
+            ids_of.append(ids)
             sizes.append(np.diff(cuts[last - 1], prepend=0))
         order.append(np.concatenate(alone))
         single = self._encode([words[i] for i in order[-1]])
-        found.append(np.fromiter(chain.from_iterable(single), np.uint16))
+        ids_of.append(np.fromiter(chain.from_iterable(single), np.uint16))
         sizes.append(np.fromiter(map(len, single), np.int64, len(single)))
         sizes = np.concatenate(sizes)
         spans = np.empty((2, len(words)), np.int64)
         spans[:, np.concatenate(order)] = len(self.pool) + np.cumsum(sizes) - sizes, sizes
         self.spans = np.concatenate([self.spans, spans], axis=1)
-        self.pool = np.concatenate([self.pool, *found])
+        self.pool = np.concatenate([self.pool, *ids_of])
 
     def _words(self, text: str | None) -> list[bytes]:
         """Words in lower case where that changes nothing: special tokens are told by their case, and so are some letters before
