@@ -17,11 +17,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alarmlens.llm.common import small, stored
+from alarmlens.llm.common import small, stored, text_key
 
 WINDOW, PERCENT = 4, 85
 LEVELS = 3  # dealings before all sets with too many empty parts meet
-SHARED = 1_500_000  # marks in a broadcast: two numbers each
+SEEN = 1_000_000  # sets that a task remembers, so that it gives the marks of copies once
 BLOCK_GRAMS = 4_000_000  # n-grams of one block; 32 MB of hashes
 PILOTS = 8  # a cut group's pilots, which join every block of it, take this part of a block
 
@@ -76,7 +76,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-SIGNATURES = "doc_id long, n long, node long, marks array<long>"
+SIGNATURES = "doc_id long, _text long, n long, node long, marks array<long>"
 
 
 def _node(grams: np.ndarray) -> int:
@@ -123,21 +123,72 @@ def marks_of(grams: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, window: int, percent: int) -> DataFrame:
-    """Each row's set size, the name of its set (``node``), and the marks of which linked sets share one."""
+    """Each row's set size, the name of its set (``node``), and the marks of which linked sets share one.
+
+    A task gives the marks of a set that it meets again as an empty list, so copies cost no marks.
+    """
 
     def run(batches):
-        hasher = Hasher(window)
+        hasher, seen = Hasher(window), set()
         for batch in batches:
             n, node, marks = [], [], []
             for text in _texts(batch):
                 grams = hasher(text)
                 n.append(len(grams))
                 node.append(_node(grams) if len(grams) else None)
-                marks.append(marks_of(grams, percent) if len(grams) else grams.view(np.int64))
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(marks, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "marks"])
+                fresh = len(grams) and node[-1] not in seen
+                marks.append(marks_of(grams, percent) if fresh else np.empty(0, np.int64))
+                if fresh:
+                    seen.add(node[-1])
+            if len(seen) > SEEN:
+                seen = set()
+            own = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(marks, pa.list_(pa.int64()))]
+            columns = [batch.column("doc_id"), batch.column("_text"), *own]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_text", "n", "node", "marks"])
+
+    return docs.select("doc_id", text_key(F.col("text")).alias("_text"), "text").mapInArrow(run, SIGNATURES)
+
+
+def touching(marks: DataFrame) -> DataFrame:
+    """``node, other``: sets that share a mark, each with the first one that has it, from rows ``node, marks``.
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURES)
+    Postings are ordered by mark and set over all tasks and read as a stream, so a mark of any number of sets is split among tasks.
+    Each task links to the first set of a mark that it sees; where a mark goes on in the next task, these first sets are linked, too.
+    """
+
+    def stars(batches):
+        last_mark = last_leader = None
+        for batch in batches:
+            mark, node = batch.column("mark").to_numpy(), batch.column("node").to_numpy()
+            if not len(mark):
+                continue
+            new = np.append(True, mark[1:] != mark[:-1])
+            goes_on = last_mark is not None and mark[0] == last_mark
+            new[0] = not goes_on
+            firsts = node[new]
+            leader = np.append([last_leader] if goes_on else firsts[:0], firsts)[np.cumsum(new) - (0 if goes_on else 1)]
+            linked = leader != node
+            edge = np.zeros(int(linked.sum()), bool)
+            columns = [node[linked], leader[linked], mark[linked], edge]
+            if last_mark is None:  # the first mark of the task may go on from the one before
+                columns = [np.append(c, v) for c, v in zip(columns, (node[0], node[0], mark[0], True))]
+            last_mark, last_leader = mark[-1], leader[-1]
+            yield _edges(*columns)
+        if last_mark is not None:
+            yield _edges(*[np.array([v]) for v in (last_leader, last_leader, last_mark, True)])
+
+    def _edges(node, other, mark, border):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((node, other, mark, border), kinds)], ["node", "other", "mark", "border"])
+
+    postings = marks.select("node", F.explode("marks").alias("mark"))
+    ordered = postings.repartitionByRange("mark", "node").sortWithinPartitions("mark", "node")
+    found = ordered.mapInArrow(stars, "node long, other long, mark long, border boolean")
+    found = stored(found, "stars")
+    borders = found.where("border").select("mark", "node").distinct()  # two rows a task
+    lead = borders.groupBy("mark").agg(F.min("node").alias("other"))
+    across = borders.join(lead, "mark").where("node <> other").select("node", "other")
+    return found.where("not border").select("node", "other").unionByName(across).distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -306,23 +357,28 @@ def rest_blocks(sets: DataFrame, reached: DataFrame, block_grams: int) -> DataFr
 
 
 def jaccard_components(docs: DataFrame, window: int = WINDOW, percent: int = PERCENT, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs``.
+    """``doc_id, n_shingles, component_id`` for each row of ``docs``; see ``jaccard_groups``."""
+    return jaccard_groups(docs, window, percent, block_grams).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(docs: DataFrame, window: int = WINDOW, percent: int = PERCENT, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """``doc_id, _text, n_shingles, component_id, leads`` for each row of ``docs``; ``_text`` is the key of its text.
 
     Two rows link when their sets of distinct ``window``-word n-grams overlap by ``percent`` of their union; fewer words are
     one n-gram. Rows that repeat a doc_id are rows of their own that share an id. NULL, empty and blank texts have an empty set, link
-    with nothing and are their own component. NULL ids are never the smallest; a component of them alone has a NULL id.
+    with nothing and are their own component. NULL ids are never the smallest; a component of them alone has a NULL id. ``leads`` marks
+    the row of each component with the smallest id (NULL last) and, of these, the smallest key; equal rows are marked alike.
     """
     marks = stored(signatures(docs, window, percent), "signatures")
     full = marks.where("n > 0")
-    nodes = stored(full.groupBy("node").agg(F.min("doc_id").alias("lowest"), F.min("n").alias("n")), "nodes")
-    postings = full.select("node", F.explode("marks").alias("mark"))
-    near = postings.groupBy("mark").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other < last")
-    near = stored(near.select("mark", "other"), "shared-marks")
-    touch = postings.join(small(near, SHARED), "mark").where("node <> other").select("node", "other").distinct()
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_text")
+    nodes = stored(full.groupBy("node").agg(F.min(row).alias("leader"), F.min("n").alias("n")), "nodes")
+    nodes = nodes.select("node", F.col("leader.doc_id").alias("lowest"), "leader", "n")
+    touch = touching(full.select("node", "marks"))
     groups = components(stored(touch, "touching"), "touch")
 
     # How many pieces a group is cut into, from the n-grams of all its sets.
-    sized = groups.join(nodes, "node")
+    sized = groups.join(nodes.drop("leader"), "node")
     pieces = sized.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block_grams)).cast("bigint").alias("pieces"))
     sets = stored(sized.join(pieces, "root").select("lowest", "node", "n", "root", "pieces"), "wanted")
     links = stored(links_in_blocks(docs, first_blocks(sets), window, percent), "links")
@@ -333,12 +389,19 @@ def jaccard_components(docs: DataFrame, window: int = WINDOW, percent: int = PER
             more = links_in_blocks(docs, wanted, window, percent).union(linked_nodes.select("node", F.col("root").alias("other")))
             linked_nodes = components(stored(more, "more-links"), "more-links")
 
-    lowest = linked_nodes.join(nodes, "node").groupBy("root").agg(F.min("lowest").alias("component_id"))
-    named = linked_nodes.join(lowest, "root").select("node", "component_id")
-    ids = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "lowest").alias("component_id"))
+    first = linked_nodes.join(nodes, "node").groupBy("root").agg(F.min("leader").alias("first"))
+    named = linked_nodes.join(first, "root").select("node", "first")
+    ids = nodes.join(named, "node", "left").select("node", F.coalesce("first", "leader").alias("first"))
     ids = stored(ids, "components")
+    filled = F.col("n") > 0
     return (
-        marks.select("doc_id", "n", "node")
+        marks.select("doc_id", "_text", "n", "node")
         .join(small(ids), "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select(
+            "doc_id",
+            "_text",
+            F.col("n").alias("n_shingles"),
+            F.when(filled, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            F.when(filled, row.eqNullSafe(F.col("first"))).otherwise(F.lit(True)).alias("leads"),
+        )
     )
