@@ -22,7 +22,7 @@ from alarmlens.llm.common import crc_of_id, stored
 STATES, ROUNDS, SEED = 8, 4, 7
 COMMON_WORDS = 65_000  # words with a class of their own; bounds the model
 _FLUSH = 400_000  # words a task counts before it hands them on
-_CHUNK = 1 << 18  # tokens that the recursions hold at once; a longer text is held alone
+_CHUNK = 1 << 18  # tokens whose vectors the recursions hold at once; a longer text goes in pieces
 _BLOCKS = 32  # pieces in which emission counts are summed
 
 
@@ -155,55 +155,72 @@ def _chunks(packed: list[bytes]):
         at += len(own)
 
 
-def _forward(model: Model, lengths: np.ndarray, ids: np.ndarray, keep: bool):
-    """Scaled forward recursion over texts in falling order of length; scales by time and text, and the vectors if kept."""
+def _pieces(lengths: np.ndarray, ids: np.ndarray):
+    """The steps of a group in pieces of about ``_CHUNK`` tokens: class numbers, and how many texts reach each step."""
+    size = max(1, _CHUNK // ids.shape[1])
+    for at in range(0, len(ids), size):
+        piece = ids[at : at + size]
+        yield piece, (lengths[None, :] > np.arange(at, at + len(piece))[:, None]).sum(axis=1)
+
+
+def _forward(model: Model, ids: np.ndarray, active: np.ndarray, now: np.ndarray | None, keep: bool):
+    """Scaled forward recursion over a piece, from the vectors before it (None at the start of the texts).
+
+    Texts stand in falling order of length. Returns scales by time and text, the vectors if kept, and the last vectors.
+    """
     steps, width = ids.shape
-    active = (lengths[None, :] > np.arange(steps)[:, None]).sum(axis=1)
     scales = np.ones((steps, width))
     kept = np.empty((steps, width, len(model.start))) if keep else None
-    now = np.broadcast_to(model.start, (width, len(model.start)))
     for t in range(steps):
         n = active[t]
-        if t:
-            now = now[:n] @ model.move
+        now = np.broadcast_to(model.start, (width, len(model.start))) if now is None else now[:n] @ model.move
         now = now * model.emit[ids[t, :n]]
         scale = now.sum(axis=1)
         now /= scale[:, None]
         scales[t, :n] = scale
         if keep:
             kept[t, :n] = now
-    return active, scales, kept
+    return scales, kept, now
 
 
 def expected(model: Model, packed: list[bytes], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
-    """Add the expected counts of some texts to the three sums; the log10 probability of the texts."""
-    total, classes = 0.0, len(model.emit)
+    """Add the expected counts of some texts to the three sums; the log10 probability of the texts.
+
+    Of a text of several pieces only the vectors at their borders are kept; each piece is run forward again on the way back.
+    """
+    total, classes, states = 0.0, len(model.emit), len(model.start)
     for _, lengths, ids in _chunks(packed):
-        active, scales, gamma = _forward(model, lengths, ids, True)
-        total += float(np.log10(scales).sum())
-        steps = len(ids)
-        back = np.ones((active[-1], len(model.start)))
-        for t in range(steps - 1, -1, -1):
-            n = active[t]
-            if t < steps - 1:
-                m = active[t + 1]
-                ahead = model.emit[ids[t + 1, :m]] * back / scales[t + 1, :m, None]
-                move += model.move * (gamma[t, :m].T @ ahead)
-                back = np.ones((n, len(model.start)))  # texts that end here begin with ones
-                back[:m] = ahead @ model.move.T
-            gamma[t, :n] *= back
+        pieces = list(_pieces(lengths, ids))
+        borders = [None]
+        for piece, active in pieces[:-1]:
+            borders.append(_forward(model, piece, active, borders[-1], False)[2])
+        ahead = None  # what the next step says about the one before it
+        for k in range(len(pieces) - 1, -1, -1):
+            piece, active = pieces[k]
+            scales, gamma, _ = _forward(model, piece, active, borders[k], True)
+            total += float(np.log10(scales).sum())
+            for t in range(len(piece) - 1, -1, -1):
+                n = active[t]
+                back = np.ones((n, states))  # texts that end here begin with ones
+                if ahead is not None:
+                    m = len(ahead)
+                    move += model.move * (gamma[t, :m].T @ ahead)
+                    back[:m] = ahead @ model.move.T
+                ahead = model.emit[piece[t, :n]] * back / scales[t, :n, None]
+                gamma[t, :n] *= back
+            real = np.arange(piece.shape[1])[None, :] < active[:, None]
+            flat, weight = piece[real], gamma[real]
+            for s in range(states):
+                emit[:, s] += np.bincount(flat, weight[:, s], classes)
         start += gamma[0].sum(axis=0)
-        real = np.arange(steps)[:, None] < lengths
-        flat, weight = ids[real], gamma[real]
-        for k in range(len(model.start)):
-            emit[:, k] += np.bincount(flat, weight[:, k], classes)
     return total
 
 
 def sum_expected(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts over all ``rows``: each task sums its own, then each piece of the table is summed once more.
 
-    The driver receives one table of classes by states, whatever the number of rows.
+    The driver receives one table of classes by states, whatever the number of rows. Tasks round their sums to 24 bits for the
+    way; these are added in the order of the tasks, so reruns over the same files agree.
     """
     classes, states = model.emit.shape
     shared = rows.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
@@ -216,7 +233,9 @@ def sum_expected(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray,
             expected(own, batch.column("ids").to_pylist(), start, move, emit)
         parts = [emit.reshape(-1)[b * size : (b + 1) * size].astype(np.float32) for b in range(_BLOCKS)]
         parts.append(np.concatenate([start, move.reshape(-1)]).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS + 1), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
+        task = [TaskContext.get().partitionId()] * (_BLOCKS + 1)
+        columns = [pa.array(range(_BLOCKS + 1), pa.int32()), pa.array(task, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "task", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -225,8 +244,8 @@ def sum_expected(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray,
                 sums[block] = sums.get(block, 0.0) + np.frombuffer(counts, np.float32).astype(float)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "counts"])
 
-    kind = "block int, counts binary"
-    found = rows.select("ids").mapInArrow(run, kind).repartition("block").mapInArrow(add, kind).toArrow()
+    parts = rows.select("ids").mapInArrow(run, "block int, task int, counts binary").repartition("block")
+    found = parts.sortWithinPartitions("block", "task").mapInArrow(add, "block int, counts binary").toArrow()
     sums = {b: np.frombuffer(c, float) for b, c in zip(found["block"].to_pylist(), found["counts"].to_pylist())}
     if not sums:
         return np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
@@ -260,8 +279,11 @@ def forward_scores(rows: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for own, lengths, ids in _chunks(batch.column("ids").to_pylist()):
-                _, scales, _ = _forward(own_model, lengths, ids, False)
-                out[own] = np.log10(scales).sum(axis=0)
+                now, logs = None, 0.0
+                for piece, active in _pieces(lengths, ids):
+                    scales, _, now = _forward(own_model, piece, active, now, False)
+                    logs = logs + np.log10(scales).sum(axis=0)
+                out[own] = logs
             columns = [batch.column(c) for c in names[:-1]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], names)
 

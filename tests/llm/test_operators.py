@@ -235,7 +235,7 @@ def test_hmm_is_a_distribution_and_exact(spark, texts):
     draw = np.random.default_rng(2)
     emit = draw.uniform(size=(4, 2))
     model = hmm.Model(np.array([0.3, 0.7]), np.array([[0.9, 0.1], [0.4, 0.6]]), emit / emit.sum(axis=0))
-    _, scales, _ = hmm._forward(model, np.array([3, 1]), np.array([[0, 2], [3, 0], [1, 0]], np.uint16), False)
+    scales, _, _ = hmm._forward(model, np.array([[0, 2], [3, 0], [1, 0]], np.uint16), np.array([2, 1, 1]), None, False)
     paths = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
     whole = sum(model.start[a] * model.emit[0, a] * model.move[a, b] * model.emit[3, b] * model.move[b, c] * model.emit[1, c] for a, b, c in paths)
     assert np.isclose(scales[:, 0].prod(), whole) and np.isclose(scales[:, 1].prod(), model.start @ model.emit[2])
