@@ -17,12 +17,13 @@ NO_ALARM = -1
 
 @dataclass(frozen=True)
 class Alarms:
-    """Distinct alarm times, written out once, with their count and range."""
+    """Distinct alarm times, written out once, with their count, range and quantiles."""
 
     times: DataFrame
     count: int
     first: int | None
     last: int | None
+    cuts: tuple[int, ...] = ()
 
 
 def alarm_times(alarms: DataFrame | Alarms, time: str | None = None) -> Alarms:
@@ -52,7 +53,7 @@ def next_alarm(scores: DataFrame, alarms: DataFrame | Alarms, limits: Limits = D
     if alarms.count <= limits.broadcast_rows:
         # 100 buckets per alarm: one bucket rarely holds more than one of them.
         few = alarms.count <= limits.candidates
-        timeline = Timeline.of(start, alarms.last, min(limits.buckets, 100 * alarms.count) if few else limits.buckets)
+        timeline = Timeline.of(start, alarms.last, min(limits.buckets, 100 * alarms.count) if few else limits.buckets, alarms.cuts)
         # The list is bounded by the check above, so one task can order it.
         previous = F.lag("alarm").over(Window.orderBy("alarm"))
         gaps = alarms.times.select(
@@ -70,7 +71,7 @@ def next_alarm(scores: DataFrame, alarms: DataFrame | Alarms, limits: Limits = D
             )
             return scores.join(cut, in_gap, "left").select(*kept, _or_none(F.col("closes")))
 
-    timeline = Timeline.of(start, alarms.last, limits.buckets)
+    timeline = Timeline.of(start, alarms.last, limits.buckets, alarms.cuts)
     marks = alarms.times.select(F.col("alarm").alias("_at"), F.col("alarm").alias("_value"))
     swept = sweep(scores, "unix", marks, timeline, limits, backwards=True, output="_next")
     return swept.select(*scores.columns, _or_none(F.col("_next")))

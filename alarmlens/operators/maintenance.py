@@ -33,10 +33,11 @@ def outside_maintenance(
         (F.col("unix_start") + 1).alias("opens"), (F.col("unix_end") + cool_down).alias("closes")
     )
     closed = materialise(closed.where("opens < closes").groupBy("opens").agg(F.max("closes").alias("closes")))
-    rows, start, stop = extent(closed, "opens", "closes")
+    rows, start, stop, cuts = extent(closed, "opens", "closes")
     if rows == 0:
         return scores
-    timeline = Timeline.of(start, stop, min(limits.buckets, 100 * rows) if rows <= limits.candidates else limits.buckets)
+    buckets = min(limits.buckets, 100 * rows) if rows <= limits.candidates else limits.buckets
+    timeline = Timeline.of(start, stop, buckets, cuts)
     if rows <= limits.broadcast_rows:
         cut = broadcast_pieces(_merged(closed), rows, timeline, limits)
         if cut is not None:

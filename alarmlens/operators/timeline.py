@@ -2,13 +2,15 @@
 
 A range condition alone gives Spark no key to hash on. Both sides therefore get
 the number of a time bucket as equi-key, and the range condition becomes the
-residual. The buckets span the intervals only: earlier and later points fall
+residual. The buckets span the intervals only, and follow their density: earlier and later points fall
 into the first and last bucket, so the width of the point side does not matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,22 +19,45 @@ from alarmlens.cluster import materialise, spread
 from alarmlens.limits import Limits
 
 
+SEGMENTS = 32  # parts with about equally many marks; the bucket of a time is found by halving among them
+
+
 @dataclass(frozen=True)
 class Timeline:
-    """Cuts ``[start, stop]`` into buckets of ``width`` seconds."""
+    """Cuts ``[edges[0], stop]`` into buckets.
+
+    Segments lie between quantiles of the marks, and the buckets of a segment are equally wide. So a single far mark widens the
+    buckets of one segment, and no others.
+    """
 
-    start: int
+    edges: tuple[int, ...]
     stop: int
-    width: int
+    widths: tuple[int, ...]
+    firsts: tuple[int, ...]
 
     @classmethod
-    def of(cls, start: int, stop: int, buckets: int) -> Timeline:
-        return cls(start, stop, max(1, -(-(stop - start + 1) // max(1, buckets))))
+    def of(cls, start: int, stop: int, buckets: int, cuts: Sequence[int] = ()) -> Timeline:
+        """``cuts``: times that about equally many marks lie between; those outside ``(start, stop]`` count for nothing."""
+        edges = sorted({start, *[c for c in cuts if start < c <= stop]})
+        spans = [b - a for a, b in zip(edges, [*edges[1:], stop + 1])]
+        share = max(1, buckets // len(edges))
+        widths = [max(1, -(-span // share)) for span in spans]
+        counts = [-(-span // width) for span, width in zip(spans, widths)]
+        return cls(tuple(edges), stop, tuple(widths), tuple(accumulate(counts, initial=0))[:-1])
 
     def bucket(self, time: Column) -> Column:
-        start, stop = F.lit(self.start), F.lit(self.stop)
+        start, stop = F.lit(self.edges[0]), F.lit(self.stop)
         inside = F.when(time < start, start).when(time > stop, stop).otherwise(time)
-        return F.floor((inside - F.lit(self.start)) / F.lit(self.width))
+
+        def segment(low: int, high: int) -> Column:
+            if high - low == 1:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(inside < F.lit(self.edges[middle]), segment(low, middle)).otherwise(segment(middle, high))
+
+        own = segment(0, len(self.edges))
+        of_segment = lambda values: F.get(F.array(*[F.lit(v).cast("bigint") for v in values]), own)
+        return of_segment(self.firsts) + F.floor((inside - of_segment(self.edges)) / of_segment(self.widths))
 
 
 def pieces(intervals: DataFrame, timeline: Timeline) -> DataFrame:
@@ -127,6 +152,9 @@ def sweep(
     )
 
 
-def extent(df: DataFrame, opens: str, closes: str) -> tuple[int, int | None, int | None]:
-    """Row count, least ``opens`` and greatest ``closes``: one row to the driver."""
-    return tuple(df.agg(F.count(F.lit(1)), F.min(opens), F.max(closes)).first())
+def extent(df: DataFrame, opens: str, closes: str) -> tuple[int, int | None, int | None, tuple[int, ...]]:
+    """Row count, least ``opens``, greatest ``closes`` and quantiles of ``opens``: one row to the driver."""
+    shares = F.array(*[F.lit(i / SEGMENTS) for i in range(1, SEGMENTS)])
+    cuts = F.percentile_approx(opens, shares, F.lit(10 * SEGMENTS))
+    rows, first, last, cuts = df.agg(F.count(F.lit(1)), F.min(opens), F.max(closes), cuts).first()
+    return rows, first, last, tuple(cuts or ())

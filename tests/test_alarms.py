@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import alarmlens as al
+from alarmlens.operators.timeline import Timeline
 
 SCHEMA = "algorithm string, unix bigint, score double"
 SWEEP = replace(al.DEFAULT_LIMITS, broadcast_rows=0, buckets=7, rows_per_task=20)
@@ -84,3 +85,22 @@ def test_beyond_the_broadcast_nothing_large_is_broadcast(spark):
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("far", [253_402_300_799, -(10**12)])
+def test_a_far_alarm_leaves_the_scores_where_they_are(spark, far):
+    alarms = [3600 * i + i % 7 for i in range(1, 401)] + [far]
+    rows = [("a", 500 * i, 1.0) for i in range(-3, 3100)] + [("b", a, 2.0) for a in alarms[::3]] + [("b", far - 1, 0.0), ("b", far, 0.0)]
+    result = al.next_alarm(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(a,) for a in alarms], "unix bigint"))
+    assert found(result) == wanted(rows, alarms)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_timeline_covers_every_second_once():
+    for cuts in ((), (5,), (3, 3, 9, 40), (100, 1000, 10**11)):
+        timeline = Timeline.of(2, 10**11, 50, cuts)
+        spans = [b - a for a, b in zip(timeline.edges, [*timeline.edges[1:], timeline.stop + 1])]
+        assert timeline.edges[0] == 2 and sum(spans) == 10**11 - 1
+        last = [first + (span - 1) // width for first, span, width in zip(timeline.firsts, spans, timeline.widths)]
+        assert [n + 1 for n in last[:-1]] == list(timeline.firsts[1:]) and last[-1] < 50 + len(spans)
