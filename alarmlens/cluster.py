@@ -29,6 +29,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Paths of what a folder holds, on any file system that Spark reads; none if it is not there."""
+    files, where = _file_system(spark, path)
+    return [str(entry.getPath()) for entry in files.listStatus(where)] if files.exists(where) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder once; later uses read it back."""
     shared_folder(df.sparkSession)

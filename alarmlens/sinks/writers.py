@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alarmlens.plans.report import SUMMARY_KEY
+from alarmlens.cluster import delete_folder, materialise
+from alarmlens.plans.report import SUMMARY_KEY, upsert_summary
+from alarmlens.sources.readers import read_summary, versions
 
 SECONDS_PER_DAY = 86_400
 
@@ -44,8 +46,26 @@ def write_surface(points: DataFrame, path: str, method: str = "mean", filtered:
 
 
 def write_summary(auc: DataFrame, path: str) -> None:
-    """Insert or replace the given ``(algorithm, window_size)`` keys of the stored AUC table."""
-    _replace(auc.select(*SUMMARY_KEY, "auc"), path, *SUMMARY_KEY)
+    """Insert or replace the given ``(algorithm, window_size)`` keys of the stored AUC table.
+
+    The table is written whole as a new version, a folder per algorithm. Readers take the newest finished version, so they never see
+    half an upsert, and one that dies changes nothing. The version before stays for readers under way; older ones are
+    deleted. One writer at a time.
+    """
+    spark = auc.sparkSession
+    new, finished = auc.select(*SUMMARY_KEY, "auc"), versions(spark, path)
+    if finished:
+        new = upsert_summary(read_summary(spark, path), materialise(new))
+    number = int(finished[-1].rpartition("=")[2]) + 1 if finished else 1
+    _gathered(new, "algorithm").write.mode("overwrite").partitionBy("algorithm").parquet(f"{path.rstrip('/')}/version={number:09d}")
+    for old in finished[:-1]:
+        delete_folder(spark, old)
+
+
+def write_summary_file(auc: DataFrame, path: str) -> None:
+    """The whole AUC table as CSV with the header ``Algorithm,WindowSize,AUC``, in place of an earlier one."""
+    named = auc.select(F.col("algorithm").alias("Algorithm"), F.col("window_size").alias("WindowSize"), F.col("auc").alias("AUC"))
+    named.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_surface_summary(summary: DataFrame, path: str, method: str = "mean", filtered: bool = False) -> None:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alarmlens.cluster import list_folder
+
 # The three layouts of score files, as DDL, with their time and score columns.
 FORMATS = {
     "us": ("unix BIGINT, scores DOUBLE", "unix", "scores"),
@@ -28,22 +33,30 @@ def read_scores(
     header: bool = False,
     source: str = "csv",
     algorithm: str | None = None,
+    algorithms: Sequence[str] | None = None,
+    days: Sequence[str] | None = None,
 ) -> DataFrame:
     """Score files below ``<algorithm>/<day>/`` as ``(algorithm, unix, score)``.
 
     ``path`` is a folder of algorithms or a glob of files. The algorithm is the folder two levels
-    above the file, with or without the ``algorithm=`` of a partitioned table, unless given. TLS files keep
-    their ``label``. NaN scores become NULL.
+    above the file, with or without the ``algorithm=`` of a partitioned table, unless given. ``algorithms`` and ``days`` name the
+    folders that are listed and opened; others are not touched. With ``header`` the first line of each file is left out, whatever it
+    says: columns are told by their place. TLS files keep their ``label``. NaN scores become NULL, as do broken numbers.
     """
     if format not in FORMATS:
         raise ValueError(f"format must be one of {', '.join(FORMATS)}, not {format!r}")
     schema, time, score = FORMATS[format]
     reader = spark.read.schema(schema)
     if source == "csv":
-        reader = reader.option("header", header).option("enforceSchema", not header)
-    if "*" not in path:
-        path = f"{path.rstrip('/')}/*/*/*"
-    df = reader.format(source).load(path)
+        reader = reader.option("header", header).option("enforceSchema", True)
+    if "*" in path:
+        if algorithms is not None or days is not None:
+            raise ValueError("algorithms and days choose folders below a folder, not of a glob")
+        paths = [path]
+    else:
+        first, second = _folders("algorithm", algorithms), _folders("day", days)
+        paths = [f"{path.rstrip('/')}/{a}/{d}/*" for a in first for d in second]
+    df = reader.format(source).load(paths)
     name = F.lit(algorithm) if algorithm is not None else folder_above("day")
     label = [F.col("Label").alias("label")] if format == "TLS" else []
     return df.select(
@@ -54,6 +67,14 @@ def read_scores(
     )
 
 
+def _folders(column: str, names: Sequence[str] | None) -> list[str]:
+    """Globs of folders by name, plain or as those of a partitioned table."""
+    if names is None:
+        return ["*"]
+    plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", str(name)) for name in names]
+    return [f"{{{column}=,}}{name}" for name in plain]
+
+
 def folder_above(partition: str) -> Column:
     """The folder above the one that holds the file, freed of its URL encoding."""
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+/[^/]+$", 1)
@@ -75,9 +96,18 @@ def read_maintenances(spark: SparkSession, path: str, schema: str = MAINTENANCES
     return df.select("maint_id", "unix_start", "unix_end")
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The finished versions of a table written by ``write_summary``, the newest last."""
+    folders = [f for f in list_folder(spark, path) if f.rpartition("/")[2].startswith("version=")]
+    return sorted(f for f in folders if any(name.endswith("/_SUCCESS") for name in list_folder(spark, f)))
+
+
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """The AUC table by ``(algorithm, window_size)``."""
-    return spark.read.schema(SUMMARY).parquet(path).select("algorithm", "window_size", "auc")
+    """The newest finished version of the AUC table by ``(algorithm, window_size)``."""
+    finished = versions(spark, path)
+    if not finished:
+        raise FileNotFoundError(f"no finished version of a summary in {path}")
+    return spark.read.schema(SUMMARY).parquet(finished[-1]).select("algorithm", "window_size", "auc")
 
 
 def read_summary_file(spark: SparkSession, path: str) -> DataFrame:

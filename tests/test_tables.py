@@ -37,6 +37,26 @@ def test_formats(spark, tmp_path, header):
         readers.read_scores(spark, str(tmp_path), "LT")
 
 
+def test_any_header_line(spark, tmp_path):
+    lines(tmp_path / "a" / "day1" / "x.csv", "Timestamp,Label\n10,0.5\n")
+    lines(tmp_path / "a" / "day1" / "y.csv", "time;in;seconds\n20,0.25\nbroken,1.0\n")
+    rows = readers.read_scores(spark, str(tmp_path), "TL", header=True).collect()
+    assert {tuple(r) for r in rows} == {("a", 10, 0.5), ("a", 20, 0.25), ("a", None, 1.0)}
+
+
+def test_named_folders_alone_are_opened(spark, tmp_path):
+    for folder in ("forest", "algorithm=forest", "net [1]", "forest2"):
+        for day in ("day=2020-09-13", "2020-09-13", "day7"):
+            lines(tmp_path / folder / day / "part.csv", "1600000000,0.25\n")
+    chosen = readers.read_scores(spark, str(tmp_path), algorithms=["forest"])
+    assert len(chosen.inputFiles()) == 6 and {r.algorithm for r in chosen.collect()} == {"forest"}
+    chosen = readers.read_scores(spark, str(tmp_path), algorithms=["forest", "net [1]"], days=["2020-09-13"])
+    assert len(chosen.inputFiles()) == 6 and {r.algorithm for r in chosen.collect()} == {"forest", "net [1]"}
+    assert len(readers.read_scores(spark, str(tmp_path), days=["day7"]).inputFiles()) == 4
+    with pytest.raises(ValueError):
+        readers.read_scores(spark, f"{tmp_path}/*/*/*.csv", days=["day7"])
+
+
 def test_maintenances_in_any_column_order(spark, tmp_path):
     lines(tmp_path / "m.csv", "maint_id,unix_start,unix_end\nM69,10,20\n")
     schema = "maint_id STRING, unix_start BIGINT, unix_end BIGINT"
@@ -77,6 +97,25 @@ def test_summary_upsert_and_table(spark, tmp_path):
     assert set(map(tuple, readers.read_summary(spark, path).collect())) == wanted
 
 
+def test_a_summary_that_was_not_finished_is_not_seen(spark, tmp_path):
+    schema, path = "algorithm string, window_size double, auc double", f"{tmp_path}/summary"
+    with pytest.raises(FileNotFoundError):
+        readers.read_summary(spark, path)
+    for auc in (0.1, 0.2, 0.3):
+        writers.write_summary(spark.createDataFrame([("a", 6.0, auc), ("b 1+2", 6.0, None)], schema), path)
+    assert len(readers.versions(spark, path)) == 2
+    # A writer that died between two files: its folder has rows, but no mark of the end.
+    broken = tmp_path / "summary" / "version=000000004"
+    spark.createDataFrame([("a", 6.0, 9.9)], schema).write.partitionBy("algorithm").parquet(str(broken))
+    (broken / "_SUCCESS").unlink()
+    assert {tuple(r) for r in readers.read_summary(spark, path).collect()} == {("a", 6.0, 0.3), ("b 1+2", 6.0, None)}
+    writers.write_summary(spark.createDataFrame([("a", 12.0, 0.4)], schema), path)
+    expected = {("a", 6.0, 0.3), ("a", 12.0, 0.4), ("b 1+2", 6.0, None)}
+    assert {tuple(r) for r in readers.read_summary(spark, path).collect()} == expected
+    newest = tmp_path / "summary" / "version=000000004"
+    assert sorted(len(list(f.glob("*.parquet"))) for f in newest.glob("algorithm=*")) == [1, 1]
+
+
 def test_summary_file(spark, tmp_path):
     lines(tmp_path / "summary.csv", "Algorithm,WindowSize,AUC\nforest,6.0,0.75\n")
     summary = readers.read_summary_file(spark, f"{tmp_path}/summary.csv")
