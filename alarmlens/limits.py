@@ -23,8 +23,8 @@ class Limits:
     rows_in_memory: int = 1_000_000
     # pieces a key is spread over when its partner is too large to broadcast
     salts: int = 256
-    # accuracy of the quantile sketch that brackets an exact percentile
-    sketch_accuracy: int = 10_000
+    # common steps in the shortest window up to which rows are summed per step
+    steps_per_window: int = 32
 
 
 DEFAULT_LIMITS = Limits()

@@ -1,4 +1,4 @@
-"""Exact percentile of groups of any size."""
+"""Exact percentiles of groups of any size."""
 
 from __future__ import annotations
 
@@ -7,60 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alarmlens.cluster import attach, materialise
 from alarmlens.limits import Limits
-from alarmlens.operators.ordered import along
+from alarmlens.operators.selection import select_ranks, sort_key
+
+
+def _cells(df, by, value):
+    cells = df.select(*by, sort_key(F.col(value).cast("double")).alias("_key"), F.lit(1).cast("bigint").alias("_copies"))
+    return cells.where("_key is not null")
 
 
 def exact_percentile(
     df: DataFrame, by: Sequence[str], value: str, share: float, output: str, limits: Limits
 ) -> DataFrame:
-    """Percentile with linear interpolation, one row per group, without gathering a group.
-
-    A mergeable sketch brackets the wanted ranks first. Rows below the bracket are only counted;
-    the rows inside, a small share of the group, are counted per distinct value and
-    ranked. Should a bracket miss its ranks, the group is done again with an open bracket.
-    """
-    df = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_value")).where("_value is not null")
-    margin = 2.0 / limits.sketch_accuracy
-    ends = F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin)))
-    sketch = F.percentile_approx("_value", ends, limits.sketch_accuracy)
-    brackets = materialise(
-        df.groupBy(*by)
-        .agg(sketch.alias("_ends"), F.count("_value").alias("_rows"))
-        .select(*by, F.col("_ends")[0].alias("_low"), F.col("_ends")[1].alias("_high"), "_rows")
-    )
-    found = _ranked(df, by, share, output, brackets, limits)
-    missed = found.where(~F.col("_hit"))
-    if missed.isEmpty():
-        return found.select(*by, output)
-    wide = materialise(
-        missed.select(*by, F.lit(float("-inf")).alias("_low"), F.lit(float("inf")).alias("_high"), "_rows")
-    )
-    again = _ranked(df, by, share, output, wide, limits)
-    return found.where("_hit").unionByName(again).select(*by, output)
+    """Percentile with linear interpolation, one row per group; NULL and NaN are left out."""
+    place = F.lit(share) * (F.col("_n") - 1)
+    ranks = {"_lower": lambda n: F.floor(F.lit(share) * (n - 1)) + 1, "_upper": lambda n: F.ceil(F.lit(share) * (n - 1)) + 1}
+    found = select_ranks(_cells(df, by, value), by, by, ranks, limits)
+    part = place - F.floor(place)
+    lower, upper = F.col("_lower"), F.col("_upper")
+    mixed = F.when(lower == upper, lower).otherwise(lower * (F.lit(1.0) - part) + upper * part)
+    return found.select(*by, mixed.alias(output))
 
 
-def _ranked(df, by, share, output, brackets, limits):
-    # NULL stands for "below the bracket" and sorts first; groups without a bracket drop out.
-    inside = F.when(F.col("_value") >= F.col("_low"), F.col("_value")).alias("_value")
-    counted = materialise(
-        attach(df, brackets, by, limits)
-        .where(F.col("_value") <= F.col("_high"))
-        .groupBy(*by, "_rows", inside)
-        .agg(F.count(F.lit(1)).alias("_copies"))
-    )
-    place = F.lit(share) * (F.col("_rows") - 1)
-    walked = along(counted, by, ["_value"], limits, running={"_up_to": "_copies"})
-    at = {
-        "_lower": F.min(F.when(F.col("_up_to") > F.floor(place), F.struct("_up_to", "_value"))),
-        "_upper": F.min(F.when(F.col("_up_to") > F.ceil(place), F.struct("_up_to", "_value"))),
-    }
-    part = F.col("_place") - F.floor("_place")
-    lower, upper = F.col("_lower._value"), F.col("_upper._value")
-    mixed = F.when(F.col("_lower") == F.col("_upper"), lower).otherwise(lower * (F.lit(1.0) - part) + upper * part)
-    return materialise(
-        walked.groupBy(*by, "_rows")
-        .agg(F.first(place).alias("_place"), *[pick.alias(name) for name, pick in at.items()])
-        .select(*by, "_rows", mixed.alias(output), (lower.isNotNull() & upper.isNotNull()).alias("_hit"))
-    )
+def percentile_value(
+    df: DataFrame, by: Sequence[str], value: str, share: float, output: str, limits: Limits
+) -> DataFrame:
+    """The least value that at least ``share`` of the group's values do not exceed; NULL and NaN are left out."""
+    ranks = {output: lambda n: F.greatest(F.lit(1), F.ceil(F.lit(share) * n))}
+    return select_ranks(_cells(df, by, value), by, by, ranks, limits).select(*by, output)

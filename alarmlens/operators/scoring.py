@@ -21,7 +21,9 @@ from alarmlens.functions.fixed_point import (
 from alarmlens.functions.weights import distance_weight, distance_weight_single
 from alarmlens.limits import DEFAULT_LIMITS, Limits
 from alarmlens.operators.alarms import Alarms, hours_to_alarm, next_alarm
-from alarmlens.operators.percentile import exact_percentile
+from alarmlens.operators.ordered import along
+from alarmlens.operators.percentile import exact_percentile, percentile_value
+from alarmlens.operators.selection import select_ranks, sort_key
 from alarmlens.operators.windows import (
     BY,
     DEFAULT_GRID,
@@ -47,12 +49,9 @@ def global_threshold(
     exact: bool = False,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Percentile of all scores per group; a sketch unless ``exact``."""
-    if exact:
-        return exact_percentile(scores, by, "score", share, "threshold", limits)
-    clean = scores.select(*by, F.nanvl(F.col("score").cast("double"), F.lit(None)).alias("score"))
-    sketch = F.percentile_approx("score", F.lit(share), F.lit(limits.sketch_accuracy))
-    return clean.groupBy(*by).agg(sketch.alias("threshold"))
+    """Percentile of all scores per group: a score that occurs, or, with ``exact``, interpolated between two. NULL and NaN are left out."""
+    percentile = exact_percentile if exact else percentile_value
+    return percentile(scores, by, "score", share, "threshold", limits)
 
 
 def score_windows(
@@ -99,19 +98,26 @@ def score_windows(
     rows = next_alarm(rows, alarms, limits)
 
     grid = None if isinstance(windows, DataFrame) else positive_lengths(windows)
+    seconds = whole_seconds(grid) if grid else None
     if grid is None:
-        rows = _with_own_grid(rows, windows, by, limits)
-        lengths = F.explode("_grid")
+        grids = windows.groupBy(*by).agg(F.sort_array(F.collect_set("window_length")).alias("_grid"))
+        grids = materialise(grids)
+        with_grid = lambda df: attach(df, grids, by, limits)
     else:
-        lengths = F.explode(F.array(*[F.lit(length) for length in grid]))
-    seconds = whole_seconds(grid) if grid else None
-
-    if method == "median":
-        scored = _medians(rows, lengths, seconds, single_negative, by, limits)
-    elif method == "NAB":
-        scored = _weighted(rows, lengths, single_negative, nab_total, nab_saturated, decimals, by, limits)
+        with_grid = lambda df: df.withColumn("_grid", F.array(*[F.lit(length) for length in grid]))
+
+    if method in ("mean", "ccdf"):
+        steps = seconds and roll_up and common_step(seconds) * limits.steps_per_window >= min(seconds)
+        if steps:
+            scored = _stepped_sums(with_grid, rows, common_step(seconds), method, single_negative, decimals, by)
+        elif method == "mean" and decimals is None:
+            scored = _plain_means(with_grid(rows), single_negative, by)
+        else:
+            scored = _running_sums(with_grid, rows, method, single_negative, by, limits)
+    elif method == "median":
+        scored = _medians(with_grid, rows, seconds, single_negative, by, limits)
     else:
-        scored = _sums(rows, lengths, seconds if roll_up else None, method, single_negative, decimals, by)
+        scored = _weighted(with_grid(rows), single_negative, nab_total, nab_saturated, decimals, by, limits)
     if method in ("mean", "NAB") and decimals is not None:
         scored = scored.where("score is not null")
     score = -F.col("score") if revert else F.col("score")
@@ -136,11 +142,6 @@ def _with_scale(rows, decimals, by, limits):
     return attach(rows, materialise(scales), by, limits)
 
 
-def _with_own_grid(rows, windows, by, limits):
-    grids = windows.groupBy(*by).agg(F.sort_array(F.collect_set("window_length")).alias("_grid"))
-    return attach(rows, materialise(grids), by, limits)
-
-
 def _addends(method: str, decimals: int | str | None) -> dict[str, Column]:
     addends = {"_rows": F.lit(1).cast("bigint")}
     if method == "ccdf":
@@ -166,45 +167,96 @@ def _window_of_step(step: int, single_negative: bool) -> Column:
     return F.floor(F.col("_step") / per_window)
 
 
-def _sums(rows, lengths, seconds, method, single_negative, decimals, by):
-    """Mean and share above: sums that can be taken in steps.
-
-    Where all lengths are multiples of a common step, the rows are summed once per step, and the
-    grid multiplies those few sums instead of the rows.
-    """
-    addends = _addends(method, decimals)
+def _summed(df, key, method, decimals, addends):
+    """Sums of the addends per ``key``."""
     sums = [F.sum(n).alias(n) for n in addends]
     if method == "mean" and decimals is not None:
-        addends["_scale"] = F.col("_scale")
         sums.append(F.max("_scale").alias("_scale"))
-    key = [*by, "window_length", "next_alarm", "window_no"]
-    if seconds:
-        step = common_step(seconds)
-        steps = _steps(step, single_negative)
-        rows = rows.select(*by, "next_alarm", steps.alias("_step"), *[c.alias(n) for n, c in addends.items()])
-        rows = rows.groupBy(*by, "next_alarm", "_step").agg(*sums)
-        rows = rows.withColumn("window_length", lengths)
-        number = _window_of_step(step, single_negative)
-    else:
-        rows = rows.withColumns(addends).withColumn("window_length", lengths)
-        number = window_number(F.col("window_length"), single_negative)
-    grouped = rows.withColumn("window_no", number).groupBy(*key).agg(*sums)
+    return df.groupBy(*key).agg(*sums)
+
+
+def _with_score(grouped, method, decimals):
     if method == "ccdf":
-        score = F.col("_above") / F.col("_rows")
-    elif decimals is None:
-        score = F.col("_plain") / F.col("_rows")
-    else:
-        score = mean_of("_score", "_rows", F.col("_scale"))
-    return grouped.withColumn("score", score)
+        return grouped.withColumn("score", F.col("_above") / F.col("_rows"))
+    if decimals is None:
+        return grouped.withColumn("score", F.col("_plain") / F.col("_rows"))
+    return grouped.withColumn("score", mean_of("_score", "_rows", F.col("_scale")))
+
 
+def _stepped_sums(with_grid, rows, step, method, single_negative, decimals, by):
+    """Mean and share above where all lengths are multiples of a step.
 
-def _weighted(rows, lengths, single_negative, nab_total, nab_saturated, decimals, by, limits):
+    The rows are summed once per step, and the grid multiplies those few sums instead of the rows.
+    """
+    addends = _addends(method, decimals)
+    kept = [F.col("_scale")] if method == "mean" and decimals is not None else []
+    rows = rows.select(
+        *by, "next_alarm", _steps(step, single_negative).alias("_step"), *kept, *[c.alias(n) for n, c in addends.items()]
+    )
+    rows = with_grid(_summed(rows, [*by, "next_alarm", "_step"], method, decimals, addends))
+    rows = rows.withColumn("window_length", F.explode("_grid"))
+    rows = rows.withColumn("window_no", _window_of_step(step, single_negative))
+    grouped = _summed(rows, [*by, "window_length", "next_alarm", "window_no"], method, decimals, addends)
+    return _with_score(grouped, method, decimals)
+
+
+def _plain_means(rows, single_negative, by):
+    """Plain averages for lengths without a common step: doubles have no exact differences, so the grid multiplies the rows."""
+    rows = rows.withColumn("window_length", F.explode("_grid"))
+    rows = rows.withColumn("window_no", window_number(F.col("window_length"), single_negative))
+    return rows.groupBy(*by, "window_length", "next_alarm", "window_no").agg(F.avg("score").alias("score"))
+
+
+def _running_sums(with_grid, rows, method, single_negative, by, limits):
+    """Mean and share above for lengths without a common step: differences of exact running sums.
+
+    Rows are summed per second, then along the time to each alarm. A window is a run of seconds, so its sums are what the running
+    sums gain from its first second to its last. Only these two places of each window are dealt to its length, never the rows.
+    """
+    place = [*by, "next_alarm"]
+    addends = _addends(method, AUTO)
+    kept = [F.col("_scale")] if method == "mean" else []
+    rows = rows.select(*place, "unix", *kept, *[c.alias(n) for n, c in addends.items()])
+    rows = _summed(rows, [*place, "unix"], method, AUTO, addends)
+    # Running sums reach further than those of a window.
+    wide = {n: F.col(n).cast("decimal(20,0)") for n in addends if n.endswith("_whole")}
+    rows = materialise(rows.withColumns(wide))
+    walked = along(
+        rows,
+        place,
+        ["unix"],
+        limits,
+        running={f"_with{n}": n for n in addends},
+        previous={"_earlier": "unix"},
+        following={"_later": "unix"},
+    )
+
+    def places(length):
+        own = window_number(length, single_negative)
+        differs = lambda time: F.col(time).isNull() | (window_number(length, single_negative, F.col(time)) != own)
+        return F.struct(
+            length.alias("window_length"), own.alias("window_no"), differs("_earlier").alias("opens"), differs("_later").alias("closes")
+        )
+
+    ends = F.filter(F.transform("_grid", places), lambda end: end["opens"] | end["closes"])
+    ends = with_grid(walked).withColumn("_end", F.explode(ends)).select("*", "_end.*")
+    gained = {
+        n: F.when(F.col("closes"), F.col(f"_with{n}")).otherwise(F.lit(0))
+        - F.when(F.col("opens"), F.col(f"_with{n}") - F.col(n)).otherwise(F.lit(0))
+        for n in addends
+    }
+    grouped = _summed(ends.withColumns(gained), [*by, "window_length", "next_alarm", "window_no"], method, AUTO, addends)
+    grouped = grouped.withColumns({n: F.col(n).cast("bigint") for n in wide})
+    return _with_score(grouped, method, AUTO)
+
+
+def _weighted(rows, single_negative, nab_total, nab_saturated, decimals, by, limits):
     """Mean of ``weight * score`` over the sum of the weights of the alarm, or of the whole group."""
     if decimals is None:
         rows = _with_scale(rows, AUTO, by, limits)
     weigh = distance_weight_single if single_negative and nab_saturated else distance_weight
     rows = (
-        rows.withColumn("window_length", lengths)
+        rows.withColumn("window_length", F.explode("_grid"))
         .withColumn("window_no", window_number(F.col("window_length"), single_negative))
         .withColumn("_weight", weigh(hours_to_alarm(), F.col("window_length")))
     )
@@ -228,7 +280,7 @@ def _weighted(rows, lengths, single_negative, nab_total, nab_saturated, decimals
     return weighed.withColumn("score", mean_of("_score", "_rows", F.col("_scale")) / total_of("_weight"))
 
 
-def _medians(rows, lengths, seconds, single_negative, by, limits):
+def _medians(with_grid, rows, seconds, single_negative, by, limits):
     """Exact medians; windows of an overfull block are ranked without gathering them.
 
     The windows of all lengths nest in blocks of their common span, counted from the alarm. Rows
@@ -253,17 +305,15 @@ def _medians(rows, lengths, seconds, single_negative, by, limits):
     )
     full = materialise(full.select(*place))
 
-    def in_windows(df):
-        return df.withColumn("window_length", lengths).withColumn(
-            "window_no", window_number(F.col("window_length"), single_negative)
-        )
+    def dealt(df):
+        return with_grid(df).withColumn("window_length", F.explode("_grid")).drop("_grid")
 
     def merged(df):
         # Scores are gathered once per step. A window sorts the arrays of its steps, which are sorted runs already.
         step = common_step(seconds)
         steps = df.select(*place, "score", _steps(step, single_negative).alias("_step"))
         runs = steps.repartition(partitions, *place).groupBy(*place, "_step")
-        runs = runs.agg(F.sort_array(F.collect_list("score")).alias("_run")).withColumn("window_length", lengths)
+        runs = dealt(runs.agg(F.sort_array(F.collect_list("score")).alias("_run")))
         runs = runs.withColumn("window_no", _window_of_step(step, single_negative))
         # The keys contain those of the shuffle, so no other one follows.
         grouped = runs.groupBy(*key, "_block").agg(F.sort_array(F.flatten(F.collect_list("_run"))).alias("_run"))
@@ -275,7 +325,8 @@ def _medians(rows, lengths, seconds, single_negative, by, limits):
     def walked(df):
         # Lengths without a common step: the rows of each window are sorted, with spilling, by a window function.
         whole = Window.partitionBy("window_no", "window_length", "next_alarm", "_block", *by)
-        places = in_windows(df.repartition(partitions, *place)).select(
+        number = window_number(F.col("window_length"), single_negative)
+        places = dealt(df.repartition(partitions, *place)).withColumn("window_no", number).select(
             *key,
             "_block",
             "score",
@@ -289,7 +340,21 @@ def _medians(rows, lengths, seconds, single_negative, by, limits):
     gathered = merged if seconds else walked
 
     def ranked(df):
-        return exact_percentile(in_windows(df), key, "score", 0.5, "score", limits)
+        # How often each score occurs per step (or second); windows of all lengths are added up from counts of digits.
+        step = common_step(seconds) if seconds else None
+        fine = ["_step"] if step else ["unix"]
+        cells = df.withColumn("_key", sort_key(F.col("score")))
+        if step:
+            cells = cells.withColumn("_step", _steps(step, single_negative))
+        cells = materialise(cells.groupBy(*place, *fine, "_key").agg(F.count(F.lit(1)).alias("_copies")))
+
+        def spread(counts):
+            number = _window_of_step(step, single_negative) if step else window_number(F.col("window_length"), single_negative)
+            return dealt(counts).withColumn("window_no", number)
+
+        middle = {"_lower": lambda n: F.floor((n + 1) / 2), "_upper": lambda n: F.floor(n / 2) + 1}
+        found = select_ranks(cells, place, [*key, "_block"], middle, limits, fine=fine, spread=spread)
+        return found.select(*key, (F.col("_lower") * F.lit(0.5) + F.col("_upper") * F.lit(0.5)).alias("score"))
 
     if full.isEmpty():
         return gathered(rows)

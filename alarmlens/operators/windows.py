@@ -17,15 +17,15 @@ DEFAULT_GRID = (1, 2, 3, 4, 5, 6, 12, 18, 24, 36, 48)
 BY = ("algorithm",)
 
 
-def window_number(window_length: Column, single_negative: bool = False) -> Column:
-    """Number of the window a row lies in; 0 is the one right before the alarm.
+def window_number(window_length: Column, single_negative: bool = False, time: Column | None = None) -> Column:
+    """Number of the window a row lies in; 0 is the one right before the alarm. ``time`` stands in for the row's.
 
     Many negatives: whole window lengths to the alarm. Single negative: 1 for all
     rows further away than the window length, else 0.
     """
+    seconds = F.col("next_alarm") - (F.col("unix") if time is None else time)
     if single_negative:
-        return (hours_to_alarm() > window_length).cast("bigint")
-    seconds = F.col("next_alarm") - F.col("unix")
+        return (seconds / F.lit(3600.0) > window_length).cast("bigint")
     return F.floor(seconds / (F.lit(3600.0) * window_length))
 
 

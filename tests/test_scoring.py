@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import alarmlens as al
 from alarmlens.operators.percentile import exact_percentile
+from alarmlens.operators.selection import sort_key, value_of
 
 SCHEMA = "algorithm string, unix bigint, score double"
 LENGTHS = [1, 6, 24]
@@ -100,6 +101,11 @@ def test_share_above(spark, data, limits):
 def test_global_threshold_is_the_default(data):
     rows, alarms, scores, frame = data
     sketch = {r.algorithm: r.threshold for r in al.global_threshold(scores).collect()}
+    for name, threshold in sketch.items():
+        own = sorted(s for a, _, s in rows if a == name)
+        assert threshold == own[math.ceil(0.95 * len(own)) - 1]
+    again = al.global_threshold(scores.repartition(13, "score")).collect()
+    assert sketch == {r.algorithm: r.threshold for r in again}
     scored = al.score_windows(scores, frame, [6], "ccdf")
     check(
         scored,
@@ -202,7 +208,7 @@ def test_revert_mirrors_the_curve(data):
 
 
 @pytest.mark.parametrize("share", [0.0, 0.5, 0.95, 1.0])
-@pytest.mark.parametrize("limits", [al.DEFAULT_LIMITS, SHORT, replace(SHUFFLED, sketch_accuracy=50)])
+@pytest.mark.parametrize("limits", [al.DEFAULT_LIMITS, SHUFFLED])
 def test_exact_percentile(spark, share, limits):
     source = random.Random(5)
     groups = {"a": [source.gauss(0, 1) for _ in range(700)], "b": [source.randrange(4) * 1.0 for _ in range(301)], "c": [2.0]}
@@ -217,3 +223,64 @@ def test_unknown_options(data):
         al.score_windows(scores, frame, method="max")
     with pytest.raises(ValueError):
         al.score_windows(scores, frame, method="NAB", nab_total="day")
+
+
+ODD_LENGTHS = [1 / 7, 0.77, 2.5, 7.1]
+
+
+@pytest.mark.parametrize("single", [False, True])
+@pytest.mark.parametrize("limits", [al.DEFAULT_LIMITS, SHUFFLED], ids=["window", "ranges"])
+def test_running_sums(data, single, limits):
+    rows, alarms, scores, frame = data
+    scored = al.score_windows(scores, frame, ODD_LENGTHS, single_negative=single, limits=limits)
+    windows = naive.windows(rows, alarms, ODD_LENGTHS, single)
+    check(scored, windows, lambda _, m: naive.mean(scores_of(m)))
+    above = al.score_windows(scores, frame, ODD_LENGTHS, "ccdf", threshold=2.5, single_negative=single, limits=limits)
+    check(above, windows, lambda _, m: sum(s > 2.5 for s in scores_of(m)) / len(m))
+
+
+def test_running_sums_reach_further_than_a_long(spark):
+    # Every window is in range, the sum along the time is not; one window holds both infinities, one a single one.
+    rows = [("a", 3600 * i, 9e14 * (1 + i % 3)) for i in range(20_000)] + [(None, 5, 2.0), (None, 6, None)]
+    rows += [("b", 10, float("inf")), ("b", 4000, float("inf")), ("b", 4001, float("-inf")), ("b", 9000, 1.0)]
+    alarms = spark.createDataFrame([(3600 * 20_000,)], "unix bigint")
+    scores = spark.createDataFrame(rows, SCHEMA)
+    direct = by_key(al.score_windows(scores, alarms, [1.3], roll_up=False))
+    stepped = by_key(al.score_windows(scores, alarms, [1.3]))
+    assert direct == stepped and len(direct) > 15_000
+    assert (None, 1.3) in {k[:2] for k in direct} and any(math.isinf(v[0]) for v in direct.values())
+
+
+def test_running_sums_do_not_multiply_the_rows(data):
+    _, _, scores, frame = data
+    plan = al.score_windows(scores, frame, ODD_LENGTHS)._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line for line in plan.splitlines() if "Generate" in line]
+    assert len(generated) == 1 and "filter(" in generated[0]  # only first and last seconds of windows
+
+
+def test_sort_key_keeps_order_and_value(spark):
+    source = random.Random(11)
+    values = [s * 2.0**e * f for e in range(-1074, 1024) for s in (1, -1) for f in (1.0, 1.5, 2 - 2**-52) if e > -1022 or f == 1.0]
+    values += [source.gauss(0, 1) * 10.0 ** source.randint(-300, 300) for _ in range(5000)]
+    values += [0.0, -0.0, float("inf"), float("-inf"), 1.7976931348623157e308, 5e-324, 2.2250738585072011e-308]
+    keyed = spark.createDataFrame([(v,) for v in values], "v double").select("v", sort_key(F.col("v")).alias("k"))
+    keyed = keyed.withColumn("back", value_of(F.col("k"))).collect()
+    assert all(r.v == r.back for r in keyed)
+    ordered = sorted(keyed, key=lambda r: r.v)
+    assert all((a.k < b.k) == (a.v < b.v) and a.k <= b.k for a, b in zip(ordered, ordered[1:]))
+    rest = spark.createDataFrame([(None,), (float("nan"),)], "v double").select(sort_key(F.col("v")).alias("k")).collect()
+    assert [r.k for r in rest] == [None, None]
+
+
+def test_medians_on_own_grids(spark, data):
+    rows, alarms, scores, frame = data
+    grid = spark.createDataFrame([("a", 2.5), ("b", 3.0)], "algorithm string, window_length double")
+    gathered = by_key(al.score_windows(scores, frame, grid, "median"))
+    assert gathered and by_key(al.score_windows(scores, frame, grid, "median", limits=SHORT)) == gathered
+
+
+def test_ranked_medians_gather_nothing(data):
+    _, _, scores, frame = data
+    limits = replace(al.DEFAULT_LIMITS, rows_per_task=0, broadcast_rows=0)
+    plan = al.score_windows(scores, frame, LENGTHS, "median", limits=limits)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "sketch" not in plan.lower()
