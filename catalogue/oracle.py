@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalogue.queries import CCDF_THRESHOLD, CURVE_COLUMNS, DAILY_GRID, PLANNED
+from catalogue.queries import CCDF_THRESHOLD, CURVE_COLUMNS, DAILY_GRID, FAR, FRACTIONAL_GRID, IRREGULAR_GRID, PLANNED
 
 DEFAULT_GRID = (1, 2, 3, 4, 5, 6, 12, 18, 24, 36, 48)
 
@@ -77,6 +77,14 @@ THRESHOLDS = """
                     ELSE lower * (1 - (wanted - floor(wanted))) + upper * (wanted - floor(wanted)) END AS threshold
         FROM neighbours)"""
 
+# The score at the rank that covers the share.
+THRESHOLD_SCORES = """
+    ranked AS (
+        SELECT algorithm, score, row_number() OVER (PARTITION BY algorithm ORDER BY score) AS place,
+               greatest(1, ceil(CAST(0.95 AS DOUBLE) * count(*) OVER (PARTITION BY algorithm))) AS wanted
+        FROM scores),
+    thresholds AS (SELECT algorithm, score AS threshold FROM ranked WHERE place = wanted)"""
+
 
 def grid_of(lengths) -> str:
     return f"grid AS (SELECT unnest(CAST([{', '.join(map(str, lengths))}] AS DOUBLE[])) AS window_length)"
@@ -227,10 +235,10 @@ def auc_sql(scored: str, **options) -> str:
     return statement("SELECT * FROM aucs", *curve_parts(scored, **options), AUC)
 
 
-def points_sql(columns=CURVE_COLUMNS, reduced=True, **options) -> str:
-    return statement(
-        f"SELECT {', '.join(columns)} FROM points", *curve_parts(scored_mean(), **options), points(reduced)
-    )
+def points_sql(columns=CURVE_COLUMNS, reduced=True, scored=None, digits=None, **options) -> str:
+    parts = curve_parts(scored or scored_mean(), **options)
+    columns = [f"round({c}, {digits}) AS {c}" if digits and c == "threshold" else c for c in columns]
+    return statement(f"SELECT {', '.join(columns)} FROM points", *parts, points(reduced))
 
 
 def window_no_sql(source: str, length: int, single: bool) -> str:
@@ -243,12 +251,12 @@ def window_no_sql(source: str, length: int, single: bool) -> str:
     )
 
 
-def global_ccdf(final: str, *more: str) -> str:
+def global_ccdf(final: str, *more: str, thresholds: str = THRESHOLDS) -> str:
     with_threshold = """
     annotated AS (SELECT n.*, t.threshold FROM nearest n JOIN thresholds t ON n.algorithm = t.algorithm)"""
     nearest = ANNOTATED.replace("annotated AS", "nearest AS")
     return statement(
-        final, EVENTS, THRESHOLDS, nearest, with_threshold, grid_of(DEFAULT_GRID), windowed(),
+        final, EVENTS, thresholds, nearest, with_threshold, grid_of(DEFAULT_GRID), windowed(),
         scored_ccdf("threshold"), *more,
     )
 
@@ -277,6 +285,9 @@ NEXT_ALARM = "SELECT algorithm, unix, score, next_alarm, hours_to_alarm FROM ann
 ORACLE: dict[str, str] = {
     "next_alarm": statement(NEXT_ALARM, EVENTS, ANNOTATED),
     "next_alarm_dense": statement(NEXT_ALARM, DAILY, ANNOTATED),
+    "next_alarm_far": statement(
+        NEXT_ALARM, EVENTS.replace("FROM maintenances)", f"FROM maintenances UNION ALL SELECT {FAR})"), ANNOTATED
+    ),
     "next_alarm_sweep": statement(NEXT_ALARM, EVENTS, ANNOTATED),
     "next_alarm_dense_sweep": statement(NEXT_ALARM, DAILY, ANNOTATED),
     "window_no_multi": window_no_sql(EVENTS, 6, False),
@@ -294,13 +305,15 @@ ORACLE: dict[str, str] = {
     "score_mean_direct": scores_of(scored_mean()),
     "score_median": scores_of(SCORED_MEDIAN),
     "score_median_single": scores_of(SCORED_MEDIAN, single=True),
-    "score_median_ranked": scores_of(SCORED_MEDIAN, lengths=(24,)),
+    "score_median_ranked": scores_of(SCORED_MEDIAN),
     "score_ccdf": scores_of(scored_ccdf(str(CCDF_THRESHOLD))),
     "score_ccdf_global": global_ccdf(f"SELECT {KEY}, score, label FROM scored"),
     "global_threshold": statement("SELECT algorithm, round(threshold, 6) AS threshold FROM thresholds", EVENTS, THRESHOLDS),
     "score_nab_alarm": scores_of(scored_nab(), digits=6),
     "score_nab_global": scores_of(scored_nab("global"), digits=6),
     "score_nab_single": scores_of(scored_nab(single=True), single=True, digits=6),
+    "score_nab_single_clamped": scores_of(scored_nab(), single=True, digits=6),
+    "score_mean_irregular_single": scores_of(scored_mean(), lengths=IRREGULAR_GRID, single=True),
     "score_revert": scores_of(scored_mean("-")),
     "confusion_by_threshold": statement(
         "SELECT algorithm, window_length, point_no, threshold, tp, fp, positives, negatives FROM confusion",
@@ -319,6 +332,10 @@ ORACLE: dict[str, str] = {
         ("algorithm", "window_length", "point_no", "threshold", "precision", "recall", "f1"), False
     ),
     "roc_curve_6h": points_sql(lengths=(6,)),
+    "roc_curve_median": points_sql(lengths=(6,), scored=SCORED_MEDIAN),
+    "roc_curve_nab": points_sql(lengths=(6,), scored=scored_nab(), digits=6),
+    "roc_curve_ccdf": points_sql(lengths=(6,), scored=scored_ccdf("CAST(0.95 AS DOUBLE)")),
+    "roc_curve_single": points_sql(lengths=(6,), single=True),
     "roc_surface": points_sql(),
     "surface_auc": auc_sql(scored_mean()),
     "surface_auc_missing_times": auc_sql(scored_mean()),
@@ -330,6 +347,7 @@ ORACLE: dict[str, str] = {
     "surface_auc_median": auc_sql(SCORED_MEDIAN),
     "surface_auc_ccdf": auc_sql(scored_ccdf(str(CCDF_THRESHOLD))),
     "surface_auc_ccdf_global": global_ccdf("SELECT * FROM aucs", CURVE, AUC),
+    "surface_auc_ccdf_default": global_ccdf("SELECT * FROM aucs", CURVE, AUC, thresholds=THRESHOLD_SCORES),
     "surface_auc_nab_alarm": auc_sql(scored_nab()),
     "surface_auc_nab_global": auc_sql(scored_nab("global")),
     "surface_auc_nab_single": auc_sql(scored_nab(single=True), single=True),
@@ -337,6 +355,9 @@ ORACLE: dict[str, str] = {
     "surface_auc_even": statement(
         "SELECT * FROM aucs", EVENTS, ANNOTATED, EVEN_GRID, windowed(own_grid=True), scored_mean(), CURVE, AUC
     ),
+    "surface_auc_fractional": auc_sql(scored_mean(), lengths=FRACTIONAL_GRID),
+    "surface_auc_irregular": auc_sql(scored_mean(), lengths=IRREGULAR_GRID),
+    "surface_auc_irregular_ccdf": auc_sql(scored_ccdf(str(CCDF_THRESHOLD)), lengths=IRREGULAR_GRID),
     "surface_auc_daily": auc_sql(scored_mean(), source=DAILY, lengths=DAILY_GRID),
     "surface_auc_single_daily": auc_sql(scored_mean(), source=DAILY, lengths=DAILY_GRID, single=True),
     "surface_auc_filtered": auc_sql(scored_mean(), source=FILTERED),
@@ -348,6 +369,12 @@ ORACLE: dict[str, str] = {
         " WHERE s.unix > m.unix_start AND s.unix < m.unix_end + 1800)",
         EVENTS,
     ),
+    "filter_cooldown_open": statement(
+        f"{ALL_SCORES} scores s WHERE NOT EXISTS (SELECT 1 FROM maintenances m"
+        " WHERE s.unix > m.unix_start AND s.unix < m.unix_end + 1800)"
+        " AND NOT unix > (SELECT max(unix_start) + 86400 FROM maintenances)",
+        EVENTS,
+    ),
     "filter_cooldown_sweep": statement(
         f"{ALL_SCORES} scores s WHERE NOT EXISTS (SELECT 1 FROM maintenances m"
         " WHERE s.unix > m.unix_start AND s.unix < m.unix_end + 1800)",
@@ -364,10 +391,20 @@ ORACLE: dict[str, str] = {
         EVENTS,
     ),
     "read_format_tl": statement(f"{ALL_SCORES} scores", EVENTS),
+    "read_format_us_header": statement(f"{ALL_SCORES} scores", EVENTS),
+    "read_format_tl_label": statement(f"{ALL_SCORES} scores", EVENTS),
+    "read_format_days": statement(
+        f"{ALL_SCORES} scores WHERE algorithm IN ('click', 'view')"
+        " AND CAST(make_timestamp(unix * 1000000) AS DATE) IN (DATE '2024-01-05', DATE '2024-01-20')",
+        EVENTS,
+    ),
     "read_maintenances": statement("SELECT maint_id, unix_start, unix_end FROM maintenances", EVENTS),
     "scores_by_day": statement(
         f"SELECT algorithm, unix, score, CAST(make_timestamp(unix * 1000000) AS DATE) AS day FROM ({KEPT})", EVENTS
     ),
+    "scores_by_day_csv": statement(
+        f"SELECT algorithm, unix, score, CAST(make_timestamp(unix * 1000000) AS DATE) AS day FROM ({KEPT})", EVENTS
+    ),
     "curve_table": points_sql(lengths=(6,)),
     "surface_table": points_sql(),
     "surface_rewrite": statement(
@@ -402,4 +439,5 @@ ORACLE: dict[str, str] = {
     ),
     "summary_upsert": summary_sql(),
     "summary_table": summary_sql(),
+    "summary_csv": summary_sql(),
 }

@@ -20,6 +20,8 @@ from catalogue import views
 Query = Callable[[SparkSession, str], DataFrame]
 
 DAILY_GRID = (24, 48, 168, 720)
+FRACTIONAL_GRID = (0.7, 1.3, 5.9)
+IRREGULAR_GRID = (0.142857, 0.77777, 2.5, 7.00001)  # no whole seconds
 CCDF_THRESHOLD = 50.0
 PLANNED = ("M7",)
 CURVE_COLUMNS = (
@@ -46,6 +48,23 @@ def _next_alarm(source, limits=al.DEFAULT_LIMITS) -> Query:
     return query
 
 
+FAR = 253_402_300_799  # the last second of the year 9999
+
+
+def _with_far_alarm(spark, folder):
+    scores, alarms = events(spark, folder)
+    return scores, alarms.unionByName(spark.range(1).select(F.lit(FAR).cast("bigint").alias("unix")))
+
+
+def _filter_open(spark, folder):
+    """One more maintenance, a day after the last one, that never ends."""
+    known = views.maintenances(spark, folder)
+    opened = known.agg((F.max("unix_start") + 86_400).alias("unix_start")).select(
+        F.lit("open").alias("maint_id"), "unix_start", F.lit(FAR).cast("bigint").alias("unix_end")
+    )
+    return al.outside_maintenance(views.scores(spark, folder), known.unionByName(opened))
+
+
 def _window_number(source, length, single) -> Query:
     def query(spark, folder):
         return al.with_window_number(al.next_alarm(*source(spark, folder)), length, single)
@@ -113,8 +132,9 @@ def _points(columns=CURVE_COLUMNS, grid=None, **options) -> Query:
     return query
 
 
-def _curve(spark, folder):
-    return al.roc_curve(*events(spark, folder)).select(*CURVE_COLUMNS)
+def _curve(spark, folder, digits=None, **options):
+    curve = al.roc_curve(*events(spark, folder), **options).select(*CURVE_COLUMNS)
+    return curve if digits is None else curve.withColumn("threshold", F.round("threshold", digits))
 
 
 def _times(factor: float):
@@ -145,7 +165,7 @@ def _auc(spark, folder, limits=al.DEFAULT_LIMITS):
     return al.auc(al.score_windows(*events(spark, folder)), limits=limits)
 
 
-def _read_format(format, header) -> Query:
+def _read_format(format, header, names=None) -> Query:
     def query(spark, folder):
         """Write the scores as score files of the format, one folder per algorithm and day, and read them."""
         columns = {
@@ -157,14 +177,21 @@ def _read_format(format, header) -> Query:
         files = views.scores(spark, folder).select(
             "algorithm", writers.day_of(F.col("unix")).alias("day"), *columns
         )
-        names = readers.FORMATS[format][0].replace(",", "").split(" ")[::2]
-        files = files.toDF("algorithm", "day", *names).hint("rebalance", "algorithm", "day")
+        own = names or readers.FORMATS[format][0].replace(",", "").split(" ")[::2]
+        files = files.toDF("algorithm", "day", *own).hint("rebalance", "algorithm", "day")
         files.write.partitionBy("algorithm", "day").option("header", header).csv(path)
         return readers.read_scores(spark, path, format, header)
 
     return query
 
 
+def _read_days(spark, folder):
+    """The files of two algorithms and two days out of all that are written."""
+    path = scratch_path(spark, "days")
+    writers.write_scores_by_day(views.scores(spark, folder), path, "csv")
+    return readers.read_scores(spark, path, algorithms=["click", "view"], days=["2024-01-05", "2024-01-20"])
+
+
 def _read_maintenances(spark, folder):
     path = scratch_path(spark, "maintenances")
     columns = ["unix_start", "unix_end", "maint_id"]
@@ -172,11 +199,11 @@ def _read_maintenances(spark, folder):
     return readers.read_maintenances(spark, path)
 
 
-def _scores_by_day(spark, folder):
+def _scores_by_day(spark, folder, format="parquet"):
     path = scratch_path(spark, "scores-by-day")
     kept = al.filter_maintenances(views.scores(spark, folder), views.maintenances(spark, folder))
-    writers.write_scores_by_day(kept, path)
-    return readers.read_score_table(spark, path)
+    writers.write_scores_by_day(kept, path, format)
+    return readers.read_score_table(spark, path, format)
 
 
 def _stored_curves(grid) -> Query:
@@ -240,10 +267,20 @@ def _summary_table(spark, folder):
     return readers.read_summary(spark, path)
 
 
+def _summary_csv(spark, folder):
+    """The same with the first summary in a CSV file."""
+    scores, alarms = events(spark, folder)
+    alarms, path = al.alarm_times(alarms), scratch_path(spark, "summary-file")
+    writers.write_summary_file(auc_summary(al.surface_auc(scores, alarms)), path)
+    new = auc_summary(al.surface_auc(scores, alarms, [6, 12, 72], "median"))
+    return al.upsert_summary(readers.read_summary_file(spark, path), new)
+
+
 QUERIES: dict[str, Query] = {
     # next alarm, window number
     "next_alarm": _next_alarm(events),
     "next_alarm_dense": _next_alarm(daily),
+    "next_alarm_far": _next_alarm(_with_far_alarm),
     "next_alarm_sweep": _next_alarm(events, NO_BROADCAST),
     "next_alarm_dense_sweep": _next_alarm(daily, NO_BROADCAST),
     "window_no_multi": _window_number(events, 6, False),
@@ -260,7 +297,7 @@ QUERIES: dict[str, Query] = {
     "score_mean_direct": _scored("mean", roll_up=False),
     "score_median": _scored("median"),
     "score_median_single": _scored("median", single_negative=True),
-    "score_median_ranked": _scored("median", grid=[24], limits=SHORT_TASKS),
+    "score_median_ranked": _scored("median", limits=SHORT_TASKS),
     "score_ccdf": _scored("ccdf", threshold=CCDF_THRESHOLD),
     "score_ccdf_global": _ccdf_global,
     "global_threshold": lambda spark, folder: al.global_threshold(views.scores(spark, folder), exact=True).withColumn(
@@ -269,6 +306,7 @@ QUERIES: dict[str, Query] = {
     "score_nab_alarm": _scored("NAB", 6),
     "score_nab_global": _scored("NAB", 6, nab_total="global"),
     "score_nab_single": _scored("NAB", 6, single_negative=True),
+    "score_nab_single_clamped": _scored("NAB", 6, single_negative=True, nab_saturated=False),
     "score_revert": _scored("mean", revert=True),
     # curves
     "confusion_by_threshold": _confusion,
@@ -283,6 +321,10 @@ QUERIES: dict[str, Query] = {
     ),
     # surfaces
     "roc_curve_6h": _curve,
+    "roc_curve_median": partial(_curve, method="median"),
+    "roc_curve_nab": partial(_curve, method="NAB", digits=6),
+    "roc_curve_ccdf": partial(_curve, method="ccdf"),
+    "roc_curve_single": partial(_curve, single_negative=True),
     "roc_surface": _points(),
     "surface_auc": _surface(),
     "surface_auc_missing_times": _surface(source=_with_missing_times),
@@ -293,17 +335,23 @@ QUERIES: dict[str, Query] = {
     "surface_auc_median": _surface("median"),
     "surface_auc_ccdf": _surface("ccdf", threshold=CCDF_THRESHOLD),
     "surface_auc_ccdf_global": _surface_ccdf_global,
+    "surface_auc_ccdf_default": _surface("ccdf"),
     "surface_auc_nab_alarm": _surface("NAB"),
     "surface_auc_nab_global": _surface("NAB", nab_total="global"),
     "surface_auc_nab_single": _surface("NAB", single_negative=True),
     "surface_auc_revert": _surface(revert=True),
     "surface_auc_even": _surface_even,
+    "surface_auc_fractional": _surface(grid=FRACTIONAL_GRID),
+    "surface_auc_irregular": _surface(grid=IRREGULAR_GRID),
+    "surface_auc_irregular_ccdf": _surface("ccdf", threshold=CCDF_THRESHOLD, grid=IRREGULAR_GRID),
+    "score_mean_irregular_single": _scored("mean", grid=IRREGULAR_GRID, single_negative=True),
     "surface_auc_daily": _surface(source=daily, grid=DAILY_GRID),
     "surface_auc_single_daily": _surface(source=daily, grid=DAILY_GRID, single_negative=True),
     "surface_auc_filtered": _surface_filtered,
     # maintenances
     "filter_before_last": _filter(al.before_last_maintenance),
     "filter_cooldown": _filter(al.outside_maintenance),
+    "filter_cooldown_open": _filter_open,
     "filter_cooldown_sweep": _filter(al.outside_maintenance, limits=NO_BROADCAST),
     "filter_maintenances": _filter(al.filter_maintenances),
     "exclude_planned": lambda spark, folder: al.exclude_planned(views.maintenances(spark, folder), PLANNED),
@@ -311,8 +359,12 @@ QUERIES: dict[str, Query] = {
     "read_format_us": _read_format("us", False),
     "read_format_tls": _read_format("TLS", True),
     "read_format_tl": _read_format("TL", True),
+    "read_format_us_header": _read_format("us", True, ["when", "value"]),
+    "read_format_tl_label": _read_format("TL", True, ["Timestamp", "Label"]),
+    "read_format_days": _read_days,
     "read_maintenances": _read_maintenances,
     "scores_by_day": _scores_by_day,
+    "scores_by_day_csv": partial(_scores_by_day, format="csv"),
     "curve_table": _stored_curves([6]),
     "surface_table": _stored_curves(al.operators.windows.DEFAULT_GRID),
     "surface_rewrite": _surface_rewrite,
@@ -321,4 +373,5 @@ QUERIES: dict[str, Query] = {
     "random_baseline": _random_baseline,
     "summary_upsert": _summary_upsert,
     "summary_table": _summary_table,
+    "summary_csv": _summary_csv,
 }
