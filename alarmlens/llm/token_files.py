@@ -28,7 +28,7 @@ from alarmlens.llm.common import stored
 
 END_ID = 1
 PAGE_IDS = 1 << 18  # ids after which a page ends; a longer document has a page of its own
-CACHED_WORDS = 900_000  # words whose ids a worker remembers before it starts anew: some 200 MB
+CACHED_WORDS = 400_000  # words whose ids a worker remembers before it starts anew: some 100 MB
 _PER_CALL = 256  # words that go through the library in one string
 _SIGNS = r"!-&(-/:;=?-@\[-`{-~"  # ASCII without ', which may stand for a contraction, and <, which may begin a special token
 _LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"  # letters whose lower case is one letter
@@ -47,24 +47,25 @@ class WordEncoder:
     """Ids of whole texts, from the ids of their distinct words.
 
     Where a vocabulary drops white space, the ids of a text are those of its words, one after the other, and each distinct word goes
-    through the library once. Whether that holds is read from the tokenizer's settings; with any other tokenizer whole texts go through it.
+    through the library once. Whether that holds, and whether case counts, is what ``word_rules`` reads from the tokenizer's settings; with any
+    other tokenizer whole texts go through it.
     """
 
-    def __init__(self, settings: str):
+    def __init__(self, settings: str, by_word: bool, folds: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(settings)
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids beyond 65,535 have no place in the packed form")
-        parts = json.loads(settings)
-        self.by_word = _drops_space(parts)
-        if self.by_word:
-            self.folds = any(n["type"] == "Lowercase" for n in _steps(parts, "normalizer"))
+        self.by_word, self.folds = by_word, folds
+        if by_word:
             # For plain units alone: the same model behind a cut at white space, which is all that they need.
-            cut = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *_steps(parts, "pre_tokenizer")[1:]]}
-            self.plain = Tokenizer.from_str(json.dumps({**parts, "normalizer": None, "pre_tokenizer": cut, "added_tokens": []}))
+            self.plain = Tokenizer.from_str(settings)
+            self.plain.normalizer = None
+            to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), to_bytes])
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
@@ -150,8 +151,9 @@ def _steps(settings: dict, part: str) -> list[dict]:
     return step[inner] if step["type"] == "Sequence" else [step]
 
 
-def _drops_space(settings: dict) -> bool:
-    """Whether only white space parts words, none of it is kept, and no special token can span it."""
+def word_rules(text: str) -> tuple[bool, bool]:
+    """Whether only white space parts words, none of it is kept, and no special token can span it; and whether case is dropped, too."""
+    settings = json.loads(text)
     normal = _steps(settings, "normalizer")
     by_sign = all(
         n["type"] in _BY_SIGN or (n["type"] == "Replace" and n["pattern"] == _SPACES and n["content"] == " ") for n in normal
@@ -159,10 +161,10 @@ def _drops_space(settings: dict) -> bool:
     first, *rest = _steps(settings, "pre_tokenizer") or [{}]
     splits = first.get("type") == "Split" and first["pattern"] == {"Regex": _NO_SPACE}
     splits = splits and first["behavior"] == "Removed" and first["invert"]
-    plain = all(r["type"] == "ByteLevel" and not r["add_prefix_space"] and not r["use_regex"] for r in rest)
+    plain = [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
     special = all(t["content"].startswith("<|") and not set(t["content"]) & set(" \t\n\v\f\r") for t in settings["added_tokens"])
     special = special and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in settings["added_tokens"])
-    return by_sign and splits and plain and special
+    return by_sign and splits and plain and special, any(n["type"] == "Lowercase" for n in normal)
 
 
 def _groups(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -178,9 +180,9 @@ def _groups(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int
 
 
 @lru_cache(maxsize=1)
-def _encoder(settings: str) -> WordEncoder:
+def _encoder(settings: str, by_word: bool, folds: bool) -> WordEncoder:
     """One per Python worker: the words that a task has learned serve the next one, too."""
-    return WordEncoder(settings)
+    return WordEncoder(settings, by_word, folds)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -188,10 +190,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     The driver reads the tokenizer's file; tasks get its content, so executors need not hold it.
     """
-    settings = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
+    text = Path(tokenizer_path).read_text(encoding="utf-8")
+    settings = docs.sparkSession.sparkContext.broadcast((text, *word_rules(text)))
 
     def run(batches):
-        encoder, pack = _encoder(settings.value), zstandard.ZstdCompressor(level=1)
+        encoder, pack = _encoder(*settings.value), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for start, stop in _groups(texts):

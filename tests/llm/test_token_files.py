@@ -26,7 +26,7 @@ def drawn(n, seed=4):
 def test_words_as_whole_texts():
     settings = open(tokenizer_path(), encoding="utf-8").read()
     library = Tokenizer.from_str(settings)
-    encoder = token_files.WordEncoder(settings)
+    encoder = token_files.WordEncoder(settings, *token_files.word_rules(settings))
     assert encoder.by_word and encoder.folds
     texts = ["GAZİ. TATİLİ, x", "J̌. T̈,", None, "", *drawn(50_000)]
     for at in range(0, len(texts), 1000):
@@ -40,7 +40,7 @@ def test_words_as_whole_texts():
 def test_forgotten_words(monkeypatch):
     monkeypatch.setattr(token_files, "CACHED_WORDS", 50)
     settings = open(tokenizer_path(), encoding="utf-8").read()
-    library, encoder = Tokenizer.from_str(settings), token_files.WordEncoder(settings)
+    library, encoder = Tokenizer.from_str(settings), token_files.WordEncoder(settings, *token_files.word_rules(settings))
     for text in drawn(200, seed=9):
         assert encoder.batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
@@ -48,7 +48,7 @@ def test_forgotten_words(monkeypatch):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
 def test_tokenizers_that_keep_white_space(name):
     settings = open(tokenizer_path(name), encoding="utf-8").read()
-    library, encoder = Tokenizer.from_str(settings), token_files.WordEncoder(settings)
+    library, encoder = Tokenizer.from_str(settings), token_files.WordEncoder(settings, *token_files.word_rules(settings))
     assert not encoder.by_word
     texts = [None, "two  words\n", *drawn(300)]
     ids, counts = encoder.batch(texts)
