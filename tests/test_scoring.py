@@ -281,6 +281,6 @@ def test_medians_on_own_grids(spark, data):
 
 def test_ranked_medians_gather_nothing(data):
     _, _, scores, frame = data
-    limits = replace(al.DEFAULT_LIMITS, rows_per_task=0, broadcast_rows=0)
+    limits = replace(al.DEFAULT_LIMITS, rows_per_task=1, broadcast_rows=0)
     plan = al.score_windows(scores, frame, LENGTHS, "median", limits=limits)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "sketch" not in plan.lower()
