@@ -169,7 +169,7 @@ def touching(marks: DataFrame) -> DataFrame:
             leader = np.append([last_leader] if goes_on else firsts[:0], firsts)[np.cumsum(new) - (0 if goes_on else 1)]
             linked = leader != node
             edge = np.zeros(int(linked.sum()), bool)
-            columns = [node[linked], leader[linked], mark[linked], edge]
+            columns = [node[linked], leader[linked], np.zeros(len(edge), np.int64), edge]
             if last_mark is None:  # the first mark of the task may go on from the one before
                 columns = [np.append(c, v) for c, v in zip(columns, (node[0], node[0], mark[0], True))]
             last_mark, last_leader = mark[-1], leader[-1]
@@ -183,12 +183,13 @@ def touching(marks: DataFrame) -> DataFrame:
 
     postings = marks.select("node", F.explode("marks").alias("mark"))
     ordered = postings.repartitionByRange("mark", "node").sortWithinPartitions("mark", "node")
-    found = ordered.mapInArrow(stars, "node long, other long, mark long, border boolean")
+    # Links have no mark, so those of many marks are one row before they are shuffled or written.
+    found = ordered.mapInArrow(stars, "node long, other long, mark long, border boolean").distinct()
     found = stored(found, "stars")
-    borders = found.where("border").select("mark", "node").distinct()  # two rows a task
+    borders = found.where("border").select("mark", "node")  # two rows a task
     lead = borders.groupBy("mark").agg(F.min("node").alias("other"))
     across = borders.join(lead, "mark").where("node <> other").select("node", "other")
-    return found.where("not border").select("node", "other").unionByName(across).distinct()
+    return found.where("not border").select("node", "other").unionByName(across)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -375,7 +376,7 @@ def jaccard_groups(docs: DataFrame, window: int = WINDOW, percent: int = PERCENT
     nodes = stored(full.groupBy("node").agg(F.min(row).alias("leader"), F.min("n").alias("n")), "nodes")
     nodes = nodes.select("node", F.col("leader.doc_id").alias("lowest"), "leader", "n")
     touch = touching(full.select("node", "marks"))
-    groups = components(stored(touch, "touching"), "touch")
+    groups = components(touch, "touch")
 
     # How many pieces a group is cut into, from the n-grams of all its sets.
     sized = groups.join(nodes.drop("leader"), "node")
