@@ -8,31 +8,31 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, count, islice
+from itertools import chain, count
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alarmlens.cluster import scratch_path
-from alarmlens.llm.common import stored
+from alarmlens.llm.common import stored, word_places
 
 END_ID = 1
 PAGE_IDS = 1 << 18  # ids after which a page ends; a longer document has a page of its own
-CACHED_WORDS = 400_000  # words whose ids a worker remembers before it starts anew: some 100 MB
+CACHED_WORDS = 300_000  # words whose ids a worker remembers before it forgets those not met again: some 75 MB
 _PER_CALL = 256  # words that go through the library in one string
 _SIGNS = r"!-&(-/:;=?-@\[-`{-~"  # ASCII without ', which may stand for a contraction, and <, which may begin a special token
 _LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"  # letters whose lower case is one letter
-_PLAIN = re.compile(rf"([{_SIGNS}]*)([{_LETTERS}]+)([{_SIGNS}]*)")  # signs, letters and signs are a unit and a piece each
+_PLAIN = rf"^[{_SIGNS}]*[{_LETTERS}]+[{_SIGNS}]*$"  # signs, letters and signs are a unit and a piece each
 
 
 def _gather(pool: np.ndarray, spans: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,37 +61,55 @@ class WordEncoder:
             raise ValueError("ids beyond 65,535 have no place in the packed form")
         self.by_word, self.folds = by_word, folds
         if by_word:
-            # For plain units alone: the same model behind a cut at white space, which is all that they need.
-            self.plain = Tokenizer.from_str(settings)
-            self.plain.normalizer = None
+            # For plain units alone: the same model behind a cut at white space, which is all that they need. Units of ASCII stand for
+            # their own bytes, and no special token can begin in them.
+            bare = json.dumps({**json.loads(settings), "normalizer": None, "post_processor": None, "added_tokens": []})
+            self.plain = Tokenizer.from_str(bare)
             to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), to_bytes])
+            whole = pre_tokenizers.WhitespaceSplit()
+            self.cuts = {True: whole, False: pre_tokenizers.Sequence([whole, to_bytes])}
+            self.cut = None
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
-    def _forget(self):
-        self.place: defaultdict[bytes, int] = defaultdict(count().__next__)
-        self.spans = np.empty((2, 0), np.int64)  # start in the pool and number of ids of each word
-        self.pool = np.empty(0, np.uint16)
+    def _forget(self, kept: np.ndarray | None = None):
+        """Forget all words, or all but ``kept``."""
+        words = list(self.place) if kept is not None and len(kept) else []
+        self.place: defaultdict[bytes, int] = defaultdict(count(len(words) and len(kept)).__next__)
+        if words:
+            self.place.update((words[i], at) for at, i in enumerate(kept.tolist()))
+            self.pool, own = _gather(self.pool, self.spans, kept)
+            self.spans = np.stack([np.cumsum(own) - own, own])
+        else:
+            self.spans = np.empty((2, 0), np.int64)  # start in the pool and number of ids of each word
+            self.pool = np.empty(0, np.uint16)
+        self.again = np.zeros(len(self.place), bool)  # words met in more than one group of texts
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_plain(self, words: list[tuple[str, ...]]) -> np.ndarray:
-        text = " ".join([unit for word in words for unit in word if unit])
+    def _encode_plain(self, words: list[str]) -> np.ndarray:
+        text = " ".join(words)
+        if self.cut != text.isascii():
+            self.cut = text.isascii()
+            self.plain.pre_tokenizer = self.cuts[self.cut]
         return np.array(self.plain.encode_batch_fast([text.lower() if self.folds else text], add_special_tokens=False)[0].ids, np.uint16)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: pa.Array) -> None:
         """Words of plain units share a call, parted again at the ends of their pieces; others have a call each."""
-        found = list(map(_PLAIN.fullmatch, words))
-        plain = np.flatnonzero(np.fromiter((m is not None for m in found), bool, len(words)))
-        order, ids_of, sizes, alone = [], [], [], [np.flatnonzero(np.fromiter((m is None for m in found), bool, len(words)))]
+        is_plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        is_ascii = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+        plain = np.concatenate([np.flatnonzero(is_plain & is_ascii), np.flatnonzero(is_plain & ~is_ascii)])
+        some = words.take(pa.array(plain))
+        before, behind = (pc.match_substring_regex(some, p).to_numpy(zero_copy_only=False) for p in (f"^[{_SIGNS}]", f"[{_SIGNS}]$"))
+        parted = pc.replace_substring_regex(some, f"[{_LETTERS}]+", r" \0 ").to_numpy(zero_copy_only=False)
+        units = 1 + before.astype(np.int64) + behind
+        order, ids_of, sizes, alone = [], [], [], [np.flatnonzero(~is_plain)]
         for at in range(0, len(plain), _PER_CALL):
             chunk = plain[at : at + _PER_CALL]
-            units = [found[i].groups() for i in chunk]
-            last = np.cumsum([1 + bool(before) + bool(behind) for before, _, behind in units])
-            ids = self._encode_plain(units)
+            last = np.cumsum(units[at : at + _PER_CALL])
+            ids = self._encode_plain(parted[at : at + _PER_CALL])
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != last[-1] or cuts[-1] != len(ids):
                 alone.append(chunk)
@@ -100,7 +118,7 @@ class WordEncoder:
             ids_of.append(ids)
             sizes.append(np.diff(cuts[last - 1], prepend=0))
         order.append(np.concatenate(alone))
-        single = self._encode([words[i] for i in order[-1]])
+        single = self._encode(words.take(pa.array(order[-1])).to_pylist())
         ids_of.append(np.fromiter(chain.from_iterable(single), np.uint16))
         sizes.append(np.fromiter(map(len, single), np.int64, len(single)))
         sizes = np.concatenate(sizes)
@@ -109,13 +127,13 @@ class WordEncoder:
         self.spans = np.concatenate([self.spans, spans], axis=1)
         self.pool = np.concatenate([self.pool, *ids_of])
 
-    def _words(self, text: str | None) -> list[bytes]:
-        """Words in lower case where that changes nothing: special tokens are told by their case, and so are some letters before
-        combining marks, whose first byte in UTF-8 is CC or CD."""
-        raw = (text or "").encode()
-        if not self.folds or b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw:
-            return raw.split()
-        return raw.lower().split()
+    def _folded(self, texts: pa.Array) -> pa.Array:
+        """Texts in lower case where that changes nothing: special tokens are told by their case, and so are some letters before
+        combining marks."""
+        if not self.folds:
+            return texts
+        as_they_are = pc.match_substring_regex(texts, r"<\||[\x{0300}-\x{037f}]")
+        return pc.if_else(as_they_are, texts, pc.ascii_lower(texts))
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many of them each text has."""
@@ -124,13 +142,17 @@ class WordEncoder:
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter(chain.from_iterable(ids), np.uint16, int(counts.sum())), counts
         if len(self.place) > CACHED_WORDS:
-            self._forget()
-        lists = [self._words(text) for text in texts]
+            kept = np.flatnonzero(self.again)
+            self._forget(kept if len(kept) <= CACHED_WORDS // 2 else None)
+        words, which, counts = word_places(self._folded(pa.array(texts, pa.string())))
         known = len(self.place)
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        which = np.fromiter(map(self.place.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
-        if len(self.place) > known:
-            self._learn([w.decode() for w in islice(self.place, known, None)])
+        place = np.fromiter(map(self.place.__getitem__, words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(words))
+        new = place >= known
+        self.again[place[~new]] = True
+        if new.any():
+            self._learn(words.filter(pa.array(new)))
+            self.again = np.append(self.again, np.zeros(int(new.sum()), bool))
+        which = place[which]
         ids, own = _gather(self.pool, self.spans, which)
         ends = np.concatenate([[0], np.cumsum(own)])
         return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
@@ -210,21 +232,25 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def _unpack(column) -> list[np.ndarray]:
+def _unpacked(column) -> Iterator[np.ndarray]:
     unpack = zstandard.ZstdDecompressor()
-    return [np.frombuffer(unpack.decompress(v), np.uint16) for v in column.to_pylist()]
+    return (np.frombuffer(unpack.decompress(v), np.uint16) for v in column.to_pylist())
 
 
 def frequencies(encoded: DataFrame) -> DataFrame:
     """``id, n`` over all documents: each task sums its own, as many rows as the vocabulary at most."""
 
     def run(batches):
-        total = np.zeros(1 << 16, np.int64)
+        total, held, size = np.zeros(1 << 16, np.int64), [], 0
         for batch in batches:
-            for ids in _unpack(batch.column("ids")):
-                total += np.bincount(ids, minlength=1 << 16) if len(ids) > 4096 else 0
-                if len(ids) <= 4096:
-                    np.add.at(total, ids, 1)
+            for ids in _unpacked(batch.column("ids")):
+                held.append(ids)
+                size += len(ids)
+                if size > PAGE_IDS:
+                    total += np.bincount(np.concatenate(held), minlength=1 << 16)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << 16)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
@@ -287,7 +313,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str) -> np.nda
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            for key, ids in zip(batch.column("doc_id").to_pylist(), _unpack(batch.column("ids"))):
+            for key, ids in zip(batch.column("doc_id").to_pylist(), _unpacked(batch.column("ids"))):
                 if held and size + len(ids) > PAGE_IDS:
                     yield page()
                     first, keys, held, size = first + size, [], [], 0

@@ -54,3 +54,25 @@ def test_tokenizers_that_keep_white_space(name):
     ids, counts = encoder.batch(texts)
     expected = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+
+
+def test_words_met_again_are_kept(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_WORDS", 50)
+    settings = open(tokenizer_path(), encoding="utf-8").read()
+    library, encoder = Tokenizer.from_str(settings), token_files.WordEncoder(settings, *token_files.word_rules(settings))
+    learned, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: (learned.extend(words.to_pylist()), learn(words)))
+    draw = random.Random(3)
+    for _ in range(20):
+        text = " Often THE same, wörter: x-9 ü. ".join("".join(draw.choices("abcdeü.-", k=12)) for _ in range(12))
+        assert encoder.batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(encoder.place) < 80 and all(learned.count(w) == 1 for w in ("the", "same,", "wörter:", "x-9"))
+
+
+def test_white_space_is_that_of_bytes():
+    settings = open(tokenizer_path(), encoding="utf-8").read()
+    library, encoder = Tokenizer.from_str(settings), token_files.WordEncoder(settings, *token_files.word_rules(settings))
+    texts = [f"{chr(i)}Ab{chr(i)}{chr(i)}cD.{chr(i)}" for i in [*range(0x3000), 0x3000, 0xFEFF, 0xFFFD, 0x1F600]]
+    ids, counts = encoder.batch(texts)
+    for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
