@@ -195,7 +195,8 @@ def touching(marks: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``node, root`` for every end of an edge ``(node, other)``: the smallest node that can be reached.
 
-    Labels go to neighbours and then jump to their label's label, both as joins and partial minima, until a round changes none;
+    Labels go to neighbours; all nodes of one label take the smallest label that any of them has met, so whole clusters merge in a
+    round; then labels jump to their label's label. All are joins and partial minima, until a round changes none;
     each round is written to the shared folder. Nothing but a count comes to the driver.
     """
     both = edges.select("node", "other").unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("other")))
@@ -205,6 +206,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         seen = both.join(labels.withColumnsRenamed({"node": "other"}), "other").groupBy("node").agg(F.min("root").alias("seen"))
         near = labels.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
         near = stored(near, f"{name}-near")
+        met = near.where("root <> old").groupBy("old").agg(F.min("root").alias("met"))
+        near = near.join(met, "old", "left").select("node", "old", F.coalesce("met", "root").alias("root"))
         jump = near.select(F.col("node").alias("root"), F.col("root").alias("far"))
         labels = near.join(jump, "root", "left").select("node", "old", F.coalesce("far", "root").alias("root"))
         labels = stored(labels, f"{name}-labels")
@@ -270,11 +273,14 @@ def _links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[
             yield seed, int(nodes[j])
 
 
-def linked(blocks: DataFrame, percent: int) -> DataFrame:
-    """``node, other`` from rows ``block, node, grams``; a block is held in one task and bounded by its making."""
+def linked(blocks: DataFrame, window: int, percent: int) -> DataFrame:
+    """``node, other`` from rows ``block, node, packed``; a block is held in one task and bounded by its making.
+
+    Sets are made from the texts here, as these are smaller on the way; rows whose set is not that of ``node`` go.
+    """
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
+        unpack, hasher = zstandard.ZstdDecompressor(), Hasher(window)
         block, nodes, sets = None, {}, []
 
         def out():
@@ -283,40 +289,39 @@ def linked(blocks: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "other"])
 
         for batch in batches:
-            for key, node, grams in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "grams"))):
+            for key, node, text in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "packed"))):
                 if key != block:
                     if len(nodes) > 1:
                         yield out()
                     block, nodes, sets = key, {}, []
                 if node not in nodes:
-                    nodes[node] = True
-                    sets.append(np.frombuffer(unpack.decompress(grams), np.uint64))
+                    grams = hasher(unpack.decompress(text))
+                    if len(grams) and _node(grams) == node:
+                        nodes[node] = True
+                        sets.append(grams)
         yield out()
 
-    return blocks.select("block", "node", "grams").mapInArrow(run, "node long, other long")
+    return blocks.select("block", "node", "packed").mapInArrow(run, "node long, other long")
 
 
-def sets_of(rows: DataFrame, window: int) -> DataFrame:
-    """Add the packed set of each row's text and drop the text; rows whose set is not that of ``node`` go."""
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """``node, blocks, packed``: texts as they travel to their blocks, a fraction of the size of their hashed sets."""
 
     def run(batches):
-        hasher, pack = Hasher(window), zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            sets = [hasher(t) for t in _texts(batch)]
-            same = pa.array([len(s) > 0 and _node(s) == k for s, k in zip(sets, batch.column("node").to_pylist())], pa.bool_())
-            grams = pa.array([pack.compress(s.tobytes()) for s in sets], pa.binary())
-            columns = [batch.column("node"), batch.column("blocks"), grams]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "blocks", "grams"]).filter(same)
+            texts = pa.array([pack.compress(t or b"") for t in _texts(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("blocks"), texts], ["node", "blocks", "packed"])
 
-    return rows.select("node", "blocks", "text").mapInArrow(run, "node long, blocks array<long>, grams binary")
+    return rows.select("node", "blocks", "text").mapInArrow(run, "node long, blocks array<long>, packed binary")
 
 
 def links_in_blocks(docs: DataFrame, wanted: DataFrame, window: int, percent: int) -> DataFrame:
-    """Links among the sets ``wanted`` (``lowest, node, blocks``): each set is made once from its text and goes to all its blocks."""
+    """Links among the sets ``wanted`` (``lowest, node, blocks``): the text of each set goes to all its blocks."""
     rows = docs.select(F.col("doc_id").alias("lowest"), "text")
     with_text = rows.join(small(wanted), rows["lowest"].eqNullSafe(wanted["lowest"]))
-    dealt = sets_of(with_text, window).withColumn("block", F.explode("blocks")).select("block", "node", "grams")
-    return linked(dealt.repartition("block").sortWithinPartitions("block", "node"), percent)
+    dealt = packed_texts(with_text).withColumn("block", F.explode("blocks")).select("block", "node", "packed")
+    return linked(dealt.repartition("block").sortWithinPartitions("block", "node"), window, percent)
 
 
 def _numbers(n: Column) -> Column:

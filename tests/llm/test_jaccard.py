@@ -46,3 +46,32 @@ def test_touching(spark, ranges):
             by_mark[m].add(n)
     expected = [(min(s), n) for s in by_mark.values() for n in s if n != min(s)]
     assert groups_of(found, range(400)) == groups_of(expected, range(400))
+
+
+@pytest.mark.parametrize("shape", ["path", "drawn", "stars"])
+def test_components_in_few_rounds(spark, monkeypatch, shape):
+    draw = random.Random(8)
+    names = draw.sample(range(-5_000, 5_000), 600)
+    links = [(i, i + 1) for i in range(599) if i % 200 != 199] if shape == "path" else []
+    links += [(draw.randrange(600), draw.randrange(600)) for _ in range(450)] if shape == "drawn" else []
+    links += [(i, i // 20 * 20) for i in range(600)] + [(i, i + 20) for i in range(0, 560, 20)] if shape == "stars" else []
+    links = [(names[a], names[b]) for a, b in links]
+    written, stored = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: (written.append(name), stored(df, name))[1])
+    found = jaccard.components(spark.createDataFrame(links, "node long, other long"), "test").collect()
+    ends = {n for a, b in links if a != b for n in (a, b)}
+    assert {r["node"]: r["root"] for r in found} == {n: min(g) for g in groups_of(links, ends) for n in g} and len(found) == len(ends)
+    assert written.count("test-near") <= 7
+
+
+def test_texts_travel_smaller_than_sets(spark, monkeypatch):
+    draw = random.Random(2)
+    words = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(300)]
+    texts = [" ".join(draw.choices(words, k=400)) for _ in range(20)]
+    rows = [(2 * i + k, t + " Z" * k) for i, t in enumerate(texts) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent, linked = [], jaccard.linked
+    monkeypatch.setattr(jaccard, "linked", lambda blocks, *rest: (sent.append(blocks), linked(blocks, *rest))[1])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {i: i // 2 * 2 for i in range(40)}
+    assert sent[0].count() == 40 and all(len(r[2]) < 397 * 8 / 2 for r in sent[0].collect())
