@@ -7,28 +7,37 @@ of that class is then drawn by its smoothed count, so every word, known or not,
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alarmlens.llm.common import crc_of_id, stored
+from alarmlens.llm.common import crc_of_id, stored, word_places
 
 STATES, ROUNDS, SEED = 8, 4, 7
 COMMON_WORDS = 65_000  # words with a class of their own; bounds the model
-_FLUSH = 400_000  # words a task counts before it hands them on
+_GROUP = 16 << 20  # bytes of text whose words are told apart at once
 _CHUNK = 1 << 18  # tokens whose vectors the recursions hold at once; a longer text goes in pieces
 _BLOCKS = 32  # pieces in which emission counts are summed
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words; the end follows from the length."""
-    return (text or "").encode().lower().split()
+def tokens_of(texts: pa.Array) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """Lower-cased (A-Z) words in groups of whole texts: the first text, distinct words, the place of every word among these, words of
+    each text. The ends follow from the lengths."""
+    before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))])
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + _GROUP, "right")) - 1)
+        words, places, counts = word_places(pc.ascii_lower(texts[start:stop]))
+        yield start, words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), places, counts
+        start = stop
 
 
 def held_out(doc_id: Column) -> Column:
@@ -36,21 +45,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """``word, n`` over the rows of ``docs``; tasks sum their own first. The end of a text is the empty word."""
+    """``word, n`` over the rows of ``docs``; tasks sum those of a group of texts first. The end of a text is the empty word."""
 
     def run(batches):
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-
-        found: Counter = Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found.update(tokens_of(text))
-                found[b""] += 1
-                if len(found) > _FLUSH:
-                    yield out()
-                    found = Counter()
-        yield out()
+            for _, words, places, counts in tokens_of(batch.column("text")):
+                n = np.append(np.bincount(places, minlength=len(words)), len(counts))
+                yield pa.RecordBatch.from_arrays([pa.array([*words, b""], pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -105,16 +106,18 @@ def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
         logs = np.append(logs, 0.0)
         for batch in batches:
             columns = [[] for _ in range(8)]
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")))
-            for doc_id, out, text in rows:
-                tokens = tokens_of(text)
-                tokens.append(b"")
-                ids = np.fromiter((place.get(t, other) for t in tokens), np.uint16, len(tokens))
-                rare = [tokens[i] for i in np.flatnonzero(ids == other)]
-                values = (row, doc_id, out, len(ids), len(ids) - len(rare), float(logs[ids].sum()), pack.compress(ids.tobytes()), rare)
-                for column, value in zip(columns, values):
-                    column.append(value)
-                row += 1
+            ids_of_rows, out_of_rows = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
+            for first, listed_here, places, counts in tokens_of(batch.column("text")):
+                classes = np.fromiter(map(place.get, listed_here, repeat(other)), np.uint16, len(listed_here))
+                ends = np.cumsum(counts)
+                for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist()), first):
+                    own = places[a:b]
+                    ids = np.append(classes[own], np.uint16(place[b""]))
+                    rare = [listed_here[j] for j in own[ids[:-1] == other].tolist()]
+                    values = (row, ids_of_rows[i], out_of_rows[i], len(ids), len(ids) - len(rare), float(logs[ids].sum()), pack.compress(ids.tobytes()), rare)
+                    for column, value in zip(columns, values):
+                        column.append(value)
+                    row += 1
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
             names = [c.split()[0] for c in ENCODED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -169,13 +172,14 @@ def _forward(model: Model, ids: np.ndarray, active: np.ndarray, now: np.ndarray
     Texts stand in falling order of length. Returns scales by time and text, the vectors if kept, and the last vectors.
     """
     steps, width = ids.shape
+    ones = np.ones(len(model.start))
     scales = np.ones((steps, width))
     kept = np.empty((steps, width, len(model.start))) if keep else None
     for t in range(steps):
         n = active[t]
         now = np.broadcast_to(model.start, (width, len(model.start))) if now is None else now[:n] @ model.move
         now = now * model.emit[ids[t, :n]]
-        scale = now.sum(axis=1)
+        scale = now @ ones  # a product is faster than a sum along so short an axis
         now /= scale[:, None]
         scales[t, :n] = scale
         if keep:
@@ -195,24 +199,29 @@ def expected(model: Model, packed: list[bytes], start: np.ndarray, move: np.ndar
         for piece, active in pieces[:-1]:
             borders.append(_forward(model, piece, active, borders[-1], False)[2])
         ahead = None  # what the next step says about the one before it
+        pairs = np.zeros((states, states))
         for k in range(len(pieces) - 1, -1, -1):
             piece, active = pieces[k]
             scales, gamma, _ = _forward(model, piece, active, borders[k], True)
             total += float(np.log10(scales).sum())
             for t in range(len(piece) - 1, -1, -1):
                 n = active[t]
-                back = np.ones((n, states))  # texts that end here begin with ones
+                now = gamma[t, :n]
+                emitted = model.emit[piece[t, :n]]
+                emitted /= scales[t, :n, None]
                 if ahead is not None:
                     m = len(ahead)
-                    move += model.move * (gamma[t, :m].T @ ahead)
-                    back[:m] = ahead @ model.move.T
-                ahead = model.emit[piece[t, :n]] * back / scales[t, :n, None]
-                gamma[t, :n] *= back
+                    pairs += now[:m].T @ ahead
+                    back = ahead @ model.move.T  # texts that end here begin with ones
+                    emitted[:m] *= back
+                    now[:m] *= back
+                ahead = emitted
             real = np.arange(piece.shape[1])[None, :] < active[:, None]
-            flat, weight = piece[real], gamma[real]
+            flat, weight = piece[real], gamma[real].T
             for s in range(states):
-                emit[:, s] += np.bincount(flat, weight[:, s], classes)
+                emit[:, s] += np.bincount(flat, weight[s], classes)
         start += gamma[0].sum(axis=0)
+        move += model.move * pairs
     return total
 
 

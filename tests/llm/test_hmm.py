@@ -4,6 +4,7 @@ import itertools
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -80,3 +81,31 @@ def test_reruns_agree(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id")
     runs = [sorted(map(tuple, hmm.score_documents(docs, states=3, rounds=2, common=5).collect())) for _ in range(2)]
     assert runs[0] == runs[1]
+
+
+@pytest.mark.parametrize("group", [1 << 24, 40, 1])
+def test_words_of_groups_of_texts(monkeypatch, group):
+    monkeypatch.setattr(hmm, "_GROUP", group)
+    texts = [None, "", " \t", "A b  a", "É é\x1c\u00a0\u3000x\x0by", "b" * 50 + " A", "\nend\n", None, "c a b a c " * 9]
+    found = []
+    for first, words, places, counts in hmm.tokens_of(pa.array(texts)):
+        assert first == len(found) and len(set(words)) == len(words)
+        ends = np.cumsum(counts)
+        found += [[words[j] for j in places[e - n : e]] for e, n in zip(ends, counts)]
+    assert found == [(t or "").encode().lower().split() for t in texts]
+
+
+def test_counts_and_classes(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "_GROUP", 30)
+    rows = [(1, None), (2, ""), (None, "A a b"), (4, "b c  B\t" * 5), (4, "d"), (5, " e É a ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    counts = hmm.count_words(docs)
+    assert {bytes(r["word"]): r["n"] for r in counts.collect()} == {b"": 6, b"a": 3, b"b": 11, b"c": 5, b"d": 1, b"e": 1, "É".encode(): 1}
+    words = hmm.vocabulary(counts, 3)  # the end, b and c
+    assert words.words == [b"", b"b", b"c"] and words.tokens == 28
+    unpack = zstandard.ZstdDecompressor()
+    got = {r["row_id"] % (1 << 33): r for r in hmm.encode(docs, words).collect()}
+    classes = [np.frombuffer(unpack.decompress(got[i]["ids"]), np.uint16).tolist() for i in range(6)]
+    assert classes == [[0], [0], [3, 3, 1, 0], [1, 2, 1] * 5 + [0], [3, 0], [3, 3, 3, 0]]
+    assert [[bytes(w) for w in got[i]["rare"]] for i in range(6)] == [[], [], [b"a", b"a"], [], [b"d"], [b"e", "É".encode(), b"a"]]
+    assert [(got[i]["doc_id"], got[i]["n_tokens"], got[i]["n_common"]) for i in range(6)] == [(1, 1, 1), (2, 1, 1), (None, 4, 2), (4, 16, 16), (4, 2, 1), (5, 4, 1)]
