@@ -135,16 +135,18 @@ class WordEncoder:
         as_they_are = pc.match_substring_regex(texts, r"<\||[\x{0300}-\x{037f}]")
         return pc.if_else(as_they_are, texts, pc.ascii_lower(texts))
 
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def batch(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many of them each text has."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
         if not self.by_word:
-            ids = self._encode([t or "" for t in texts])
+            ids = self._encode([t or "" for t in texts.to_pylist()])
             counts = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter(chain.from_iterable(ids), np.uint16, int(counts.sum())), counts
         if len(self.place) > CACHED_WORDS:
             kept = np.flatnonzero(self.again)
             self._forget(kept if len(kept) <= CACHED_WORDS // 2 else None)
-        words, which, counts = word_places(self._folded(pa.array(texts, pa.string())))
+        words, which, counts = word_places(self._folded(texts))
         known = len(self.place)
         place = np.fromiter(map(self.place.__getitem__, words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(words))
         new = place >= known
@@ -189,16 +191,14 @@ def word_rules(text: str) -> tuple[bool, bool]:
     return by_sign and splits and plain and special, any(n["type"] == "Lowercase" for n in normal)
 
 
-def _groups(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of a batch with about ``chars`` characters each, so that memory follows the text."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= chars:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch with about ``size`` bytes each, so that memory follows the text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    start, before = 0, 0
+    while start < len(texts):
+        stop = min(int(np.searchsorted(ends, before + size)) + 1, len(texts))
+        yield start, stop
+        start, before = stop, int(ends[stop - 1])
 
 
 @lru_cache(maxsize=1)
@@ -210,7 +210,8 @@ def _encoder(settings: str, by_word: bool, folds: bool) -> WordEncoder:
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """``doc_id, ids``: the ids of each whole text with the end id, packed; NULL texts are empty.
 
-    The driver reads the tokenizer's file; tasks get its content, so executors need not hold it.
+    The driver reads the tokenizer's file; tasks get its content, so executors need not hold it. Texts stay in
+    Arrow; about 1 MB of them is worked on at once.
     """
     text = Path(tokenizer_path).read_text(encoding="utf-8")
     settings = docs.sparkSession.sparkContext.broadcast((text, *word_rules(text)))
@@ -218,9 +219,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         encoder, pack = _encoder(*settings.value), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            keys, texts = batch.column("doc_id"), batch.column("text").cast(pa.string())
             for start, stop in _groups(texts):
-                ids, counts = encoder.batch(texts[start:stop])
+                ids, counts = encoder.batch(texts.slice(start, stop - start))
                 ends = np.cumsum(counts)
                 packed = [
                     pack.compress(np.append(ids[e - n : e], np.uint16(END_ID)).tobytes()) for e, n in zip(ends, counts)
@@ -228,6 +229,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(start, stop - start), pa.array(packed, pa.binary())], ["doc_id", "ids"]
                 )
+            pa.default_memory_pool().release_unused()  # workers live on, and other tasks of the executor need it
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 

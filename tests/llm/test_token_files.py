@@ -1,9 +1,13 @@
 """Word-wise encoding against the library on whole texts, with the signs and letters that make words depend on each other."""
 
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from alarmlens.llm import token_files
@@ -76,3 +80,49 @@ def test_white_space_is_that_of_bytes():
     ids, counts = encoder.batch(texts)
     for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
         assert own.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+class Rows:
+    """Stands for a frame: gives back the function that Spark would run in its tasks."""
+
+    sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v)))
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def batch_of(texts, kind):
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, kind)], ["doc_id", "text"])
+
+
+@pytest.mark.parametrize("name, kind", [("word_bpe_49k.json", pa.string()), ("word_bpe_49k.json", pa.large_string()), ("byte_bpe_50k.json", pa.string())])
+def test_parts_of_a_batch(monkeypatch, name, kind):
+    groups = token_files._groups
+    monkeypatch.setattr(token_files, "_groups", lambda texts: groups(texts, 60))
+    library = Tokenizer.from_file(tokenizer_path(name))
+    texts = [None, "", *drawn(200, seed=6), None, "long words " * 30, "", None]
+    run = token_files.encode_documents(Rows(), tokenizer_path(name))
+    out = pa.Table.from_batches(run(iter([batch_of(texts, kind), batch_of([], kind), batch_of(texts[3:], kind).slice(2)])))
+    ids = [np.frombuffer(zstandard.decompress(v), np.uint16).tolist() for v in out["ids"].to_pylist()]
+    expected = [library.encode(t or "", add_special_tokens=False).ids + [token_files.END_ID] for t in texts + texts[5:]]
+    assert ids == expected and out["doc_id"].to_pylist() == [*range(len(texts)), *range(2, len(texts) - 3)]
+    assert out.num_rows == 2 * len(texts) - 5
+
+
+def test_memory_does_not_follow_the_batch():
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abcdeü.-", k=7)) for _ in range(2000)]
+    parts = [" ".join(draw.choices(words, k=100)) for _ in range(300)]
+    batch = batch_of([" ".join(draw.choices(parts, k=16)) for _ in range(2500)], pa.string())
+    run = token_files.encode_documents(Rows(), tokenizer_path())
+    assert sum(b.num_rows for b in run(iter([batch.slice(0, 200)]))) == 200
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) == 2500
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert batch.nbytes > 30e6 and peak < batch.nbytes * 0.7, (batch.nbytes, peak)
