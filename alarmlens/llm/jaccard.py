@@ -1,14 +1,16 @@
 """N-gram Jaccard join: sparse products of documents by n-grams, in blocks of documents that can be linked at all.
 
 Equal sets are merged first. The sizes of two linked sets bound by how many n-grams they differ. N-grams are dealt by hash into
-more parts than that, so linked sets agree in a whole part; sets that agree in one form groups. Only inside a group are
-overlaps counted, by products of blocks of the incidence matrix, after pairs of too different sizes are discarded.
+more parts than that, so linked sets agree in whole parts, and in more than one; sets that agree in one of their rarer parts
+form groups. Only inside a group are overlaps counted, by products of blocks of the incidence matrix, after pairs of too
+different sizes are discarded.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alarmlens.llm.common import small, stored, text_key
+from alarmlens.cluster import at_most
+from alarmlens.llm.common import BROADCAST_ROWS, small, stored, text_key
 
 WINDOW, PERCENT = 4, 85
-LEVELS = 3  # dealings before all sets with too many empty parts meet
+GROWTH = 1.6  # sizes of one class differ by less than this factor, or by what a link allows if that is more
+BUCKETS = 12  # upper bits of a mark, by which postings are dealt; 32 lower bits are sent
+SENT = 1_000_000  # marks that a task packs at once, 12 MB
 SEEN = 1_000_000  # sets that a task remembers, so that it gives the marks of copies once
 BLOCK_GRAMS = 4_000_000  # n-grams of one block; 32 MB of hashes
+IDS = 2_000_000  # hashed ids in a broadcast
 PILOTS = 8  # a cut group's pilots, which join every block of it, take this part of a block
 
 
@@ -76,7 +82,8 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-SIGNATURES = "doc_id long, _text long, n long, node long, marks array<long>"
+SIGNATURES = "doc_id long, _text long, n long, node long"
+_POSTING = np.dtype([("mark", "<u4"), ("node", "<i8")])
 
 
 def _node(grams: np.ndarray) -> int:
@@ -90,63 +97,175 @@ def _mixed(values: np.ndarray, salt: int) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
+def _width(percent: int) -> tuple[float, float]:
+    """Logarithms: by how much the sizes of linked sets, and those of one class, can differ."""
+    link = math.log(100 / (percent - 0.1))
+    return link, max(link, math.log(GROWTH))
+
+
+def _classes(n: int, percent: int) -> range:
+    """Size classes in which a set of ``n`` n-grams has marks: its own, and that of the largest sets it can be linked with."""
+    link, width = _width(percent)
+    return range(math.floor(math.log(n) / width), math.floor((math.log(n) + link) / width) + 1)
+
+
+@lru_cache(None)
+def _shape(kind: int, percent: int) -> tuple[int, int, int]:
+    """Of a size class: the parts that n-grams are dealt into, the marks that a set has, and how many of these it can spare.
+
+    Linked sets of a class differ by at most ``apart`` n-grams, so all parts but ``apart`` are equal. No part if only equal sets can be linked.
+    """
+    apart = int(2 * math.exp((kind + 1) * _width(percent)[1]) * (100 - percent) / (100 + percent) + 1e-6)
+    spare = apart // 4
+    given = apart + 1 + spare
+    return (given + 1 + apart // 2 if apart else 0), given, spare
+
+
 def marks_of(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Marks of a set, of which any two linked but different sets share one.
+    """Marks of a set. Two linked but different sets share more marks of a class than a set of it can spare; see ``_shape``.
 
-    Sets of linkable size stand in one size class or in neighbours; a set takes the marks of its own and the next one. In
-    a class, linked sets differ by at most ``apart`` n-grams. Of ``apart + 1 + spare`` parts at least ``1 + spare``
-    are then equal, and one of these is not empty unless both sets have more than ``spare`` empty parts. Such sets
-    are dealt again in another way, and after the last dealing they share a mark.
+    A mark is the number and content of a part. A set leaves out its parts with the fewest n-grams, empty ones first. That order is
+    the same for all sets, so the parts in which two sets agree lose no more than one set leaves out, not twice that.
+    The lowest bit tells the two classes of a set apart.
     """
-    ratio = math.log(100 / (percent - 0.1))
-    own = math.floor(math.log(len(grams)) / ratio)
     found = []
-    for kind in (own, own + 1):
-        apart = int(2 * math.exp((kind + 1) * ratio) * (100 - percent) / (100 + percent) + 1e-6)
-        if not apart:
+    for kind in _classes(len(grams), percent):
+        parts, given, _ = _shape(kind, percent)
+        if not parts:
             continue
-        spare = 1 + apart // 16
-        parts = apart + 1 + spare
-        for level in range(LEVELS):
-            mixed = _mixed(grams, (kind + 2) * LEVELS + level)
-            part = (mixed >> np.uint64(32)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            part, sums = part[order], np.cumsum(_mixed(mixed[order], level))
-            ends = np.flatnonzero(np.append(part[1:] != part[:-1], True))
-            content = np.diff(sums[ends], prepend=np.uint64(0))
-            found.append(_mixed(content ^ _mixed(part[ends], kind * LEVELS + level + 7), kind + 3))
-            if parts - len(ends) <= spare:
-                break
-        else:
-            found.append(_mixed(np.array([kind], np.uint64), 1))
-    return np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-
-
-def signatures(docs: DataFrame, window: int, percent: int) -> DataFrame:
-    """Each row's set size, the name of its set (``node``), and the marks of which linked sets share one.
-
-    A task gives the marks of a set that it meets again as an empty list, so copies cost no marks.
-    """
+        mixed = _mixed(grams, kind + 2)
+        part = (((mixed >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        filled, order = np.bincount(part, minlength=parts), np.argsort(part, kind="stable")
+        sums, ends = np.append(np.uint64(0), np.cumsum(_mixed(mixed[order], 1))), np.cumsum(filled)
+        content = sums[ends] - sums[ends - filled]
+        marks = _mixed(content ^ _mixed(np.arange(parts, dtype=np.uint64), kind + 7), kind + 3) >> np.uint64(32 - BUCKETS)
+        marks = marks.view(np.int64) & ~1 | kind & 1
+        found.append(marks[np.lexsort((marks, -filled))[:given]])
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def signatures(docs: DataFrame, window: int) -> DataFrame:
+    """Each row's set size and the name of its set (``node``)."""
 
     def run(batches):
-        hasher, seen = Hasher(window), set()
+        hasher = Hasher(window)
         for batch in batches:
-            n, node, marks = [], [], []
+            n, node = [], []
             for text in _texts(batch):
                 grams = hasher(text)
                 n.append(len(grams))
                 node.append(_node(grams) if len(grams) else None)
-                fresh = len(grams) and node[-1] not in seen
-                marks.append(marks_of(grams, percent) if fresh else np.empty(0, np.int64))
-                if fresh:
-                    seen.add(node[-1])
+            columns = [batch.column("doc_id"), batch.column("_text"), pa.array(n, pa.int64()), pa.array(node, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_text", "n", "node"])
+
+    return docs.select("doc_id", text_key(F.col("text")).alias("_text"), "text").mapInArrow(run, SIGNATURES)
+
+
+def postings(docs: DataFrame, window: int, percent: int) -> DataFrame:
+    """``bucket, packed``: marks with their sets, 12 bytes each; a row has those of a bucket that a task has met together.
+
+    A task gives the marks of a set that it meets again once, so copies cost few marks.
+    """
+
+    def packed(nodes, marks):
+        node, mark = np.repeat(np.array(nodes, np.int64), [len(m) for m in marks]), np.concatenate(marks)
+        order = np.argsort(mark)
+        mark, rows = mark[order], np.empty(len(mark), _POSTING)
+        rows["mark"], rows["node"] = mark & 0xFFFFFFFF, node[order]
+        bucket, first = np.unique(mark >> 32, return_index=True)
+        ends = (np.append(first, len(rows)) * _POSTING.itemsize).astype(np.int32)
+        binary = pa.Array.from_buffers(pa.binary(), len(bucket), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), binary], ["bucket", "packed"])
+
+    def run(batches):
+        hasher, seen = Hasher(window), set()
+        nodes, marks, held = [], [], 0
+        for batch in batches:
+            for text in _texts(batch):
+                grams = hasher(text)
+                node = _node(grams) if len(grams) else None
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
+                nodes.append(node)
+                marks.append(marks_of(grams, percent))
+                held += len(marks[-1])
+                if held >= SENT:
+                    yield packed(nodes, marks)
+                    nodes, marks, held = [], [], 0
             if len(seen) > SEEN:
                 seen = set()
-            own = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(marks, pa.list_(pa.int64()))]
-            columns = [batch.column("doc_id"), batch.column("_text"), *own]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_text", "n", "node", "marks"])
+        if held:
+            yield packed(nodes, marks)
+
+    return docs.select("text").mapInArrow(run, "bucket long, packed binary")
+
+
+def shared_marks(rows: DataFrame) -> DataFrame:
+    """``node, mark, sets``: marks that more than one set has, and how many have it, from ``postings``. A bucket is held in one task."""
+
+    def matched(bucket, held):
+        rows = np.frombuffer(b"".join(held), _POSTING)
+        order = np.argsort(rows["mark"])
+        mark = rows["mark"][order]
+        again = mark[1:] == mark[:-1]
+        rows = rows[order[np.append(again, False) | np.append(False, again)]]
+        rows = rows[np.lexsort((rows["node"], rows["mark"]))]
+        fresh = np.ones(len(rows), bool)  # copies of a set in several tasks are one
+        fresh[1:] = rows[1:] != rows[:-1]
+        rows = rows[fresh]
+        _, place, sets = np.unique(rows["mark"], return_inverse=True, return_counts=True)
+        sets = sets[place]
+        rows, sets = rows[sets > 1], sets[sets > 1]
+        return rows["node"], rows["mark"].astype(np.int64) | bucket << 32, sets
+
+    def out(found):
+        columns = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)]
+        return pa.RecordBatch.from_arrays(columns, ["node", "mark", "sets"])
 
-    return docs.select("doc_id", text_key(F.col("text")).alias("_text"), "text").mapInArrow(run, SIGNATURES)
+    def run(batches):
+        bucket, held, found = None, [], []
+        for batch in batches:
+            for key, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist()):
+                if key != bucket and held:
+                    found.append(matched(bucket, held))
+                    held = []
+                    if len(found) == 64:
+                        yield out(found)
+                        found = []
+                bucket = key
+                held.append(packed)
+        if held:
+            yield out([*found, matched(bucket, held)])
+
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "node long, mark long, sets long")
+
+
+def rarer_marks(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``node, marks``: the shared marks of each set without the most frequent ones of a class, as many as it can spare.
+
+    Linked sets share more marks than that. The rarest of these has as many as a set can spare behind it in both, so both keep it.
+    """
+    lists = shared.groupBy("node").agg(F.collect_list(F.struct("sets", "mark")).alias("shared")).join(nodes.select("node", "n"), "node")
+
+    def run(batches):
+        for batch in batches:
+            lists, n = batch.column("shared"), batch.column("n").to_pylist()
+            each = lists.flatten()
+            sets, mark = each.field("sets").to_numpy(), each.field("mark").to_numpy()
+            kind = 2 * np.repeat(np.arange(len(n)), lists.value_lengths().to_numpy()) + (mark & 1)
+            order = np.lexsort((mark, sets, kind))
+            mark, kind = mark[order], kind[order]
+            spare = {(i, k & 1): _shape(k, percent)[2] for i in set(n) for k in _classes(i, percent)}
+            kinds, first, count = np.unique(kind, return_index=True, return_counts=True)
+            left = count - np.array([spare[n[k >> 1], k & 1] for k in kinds.tolist()], np.int64)
+            stays = np.arange(len(mark)) - np.repeat(first, count) < np.repeat(left, count)
+            ends = np.append(0, np.cumsum(np.bincount(kind[stays] >> 1, minlength=len(n))))
+            marks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(mark[stays], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), marks], ["node", "marks"])
+
+    return lists.mapInArrow(run, "node long, marks array<long>").where(F.size("marks") > 0)
 
 
 def touching(marks: DataFrame) -> DataFrame:
@@ -316,11 +435,19 @@ def packed_texts(rows: DataFrame) -> DataFrame:
     return rows.select("node", "blocks", "text").mapInArrow(run, "node long, blocks array<long>, packed binary")
 
 
+def with_texts(docs: DataFrame, wanted: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``wanted`` (``lowest, node, blocks``) with the texts of its ids. Beyond ``rows`` texts are shuffled, but none of other ids."""
+    texts = docs.select(F.col("doc_id").alias("lowest"), "text")
+    if not at_most(wanted, rows):
+        ids = wanted.select(F.xxhash64("lowest").alias("_key")).distinct()
+        if at_most(ids, IDS):
+            texts = texts.join(F.broadcast(ids), F.xxhash64(texts["lowest"]) == ids["_key"], "left_semi")
+    return texts.join(small(wanted, rows), texts["lowest"].eqNullSafe(wanted["lowest"]))
+
+
 def links_in_blocks(docs: DataFrame, wanted: DataFrame, window: int, percent: int) -> DataFrame:
     """Links among the sets ``wanted`` (``lowest, node, blocks``): the text of each set goes to all its blocks."""
-    rows = docs.select(F.col("doc_id").alias("lowest"), "text")
-    with_text = rows.join(small(wanted), rows["lowest"].eqNullSafe(wanted["lowest"]))
-    dealt = packed_texts(with_text).withColumn("block", F.explode("blocks")).select("block", "node", "packed")
+    dealt = packed_texts(with_texts(docs, wanted)).withColumn("block", F.explode("blocks")).select("block", "node", "packed")
     return linked(dealt.repartition("block").sortWithinPartitions("block", "node"), window, percent)
 
 
@@ -375,12 +502,13 @@ def jaccard_groups(docs: DataFrame, window: int = WINDOW, percent: int = PERCENT
     with nothing and are their own component. NULL ids are never the smallest; a component of them alone has a NULL id. ``leads`` marks
     the row of each component with the smallest id (NULL last) and, of these, the smallest key; equal rows are marked alike.
     """
-    marks = stored(signatures(docs, window, percent), "signatures")
+    marks = stored(signatures(docs, window), "signatures")
     full = marks.where("n > 0")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_text")
     nodes = stored(full.groupBy("node").agg(F.min(row).alias("leader"), F.min("n").alias("n")), "nodes")
     nodes = nodes.select("node", F.col("leader.doc_id").alias("lowest"), "leader", "n")
-    touch = touching(full.select("node", "marks"))
+    shared = shared_marks(postings(docs, window, percent))
+    touch = touching(stored(rarer_marks(shared, nodes, percent), "marks"))
     groups = components(touch, "touch")
 
     # How many pieces a group is cut into, from the n-grams of all its sets.

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from alarmlens.llm import jaccard
@@ -75,3 +76,56 @@ def test_texts_travel_smaller_than_sets(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
     assert got == {i: i // 2 * 2 for i in range(40)}
     assert sent[0].count() == 40 and all(len(r[2]) < 397 * 8 / 2 for r in sent[0].collect())
+
+
+def test_relatives_that_do_not_link_send_no_text(spark, monkeypatch):
+    """They agree in a part by chance, but in no more parts than a set can spare."""
+    draw = random.Random(4)
+    words = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(3_000)]
+    texts = []
+    for _ in range(20):
+        base = draw.choices(words, k=400)
+        texts += [" ".join(draw.choice(words) if draw.random() < 0.12 else w for w in base) for _ in range(4)]
+    linked_pair = " ".join(draw.choices(words, k=400))
+    docs = spark.createDataFrame([*enumerate(texts), (100, linked_pair), (101, linked_pair + " z"), (102, linked_pair)], "doc_id long, text string")
+    sent, linked = [], jaccard.linked
+    monkeypatch.setattr(jaccard, "linked", lambda blocks, *rest: (sent.append(blocks), linked(blocks, *rest))[1])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs.repartition(5)).collect()}
+    assert got == {**{i: i for i in range(80)}, 100: 100, 101: 100, 102: 100}
+    assert sent[0].select("node").distinct().count() == 2
+
+
+@pytest.mark.parametrize("percent", [50, 85, 95])
+def test_linked_sets_share_more_marks_than_they_can_spare(percent):
+    rng = np.random.default_rng(9)
+    for n in [*range(8, 40, 3), 175, 176, 281, 282, 450, 1_000, 4_000]:
+        grams = np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64))
+        changed = 0
+        while 100 * (n - changed - 1) >= percent * (n + changed + 1):
+            changed += 1
+        fresh = rng.integers(1, 1 << 63, changed, dtype=np.uint64)
+        for other in (np.unique(np.append(grams[changed:], fresh)), grams[: -(-percent * n // 100)]):
+            if len(np.setxor1d(grams, other)):
+                shared = np.intersect1d(jaccard.marks_of(grams, percent), jaccard.marks_of(other, percent))
+                classes = set(jaccard._classes(n, percent)) & set(jaccard._classes(len(other), percent))
+                assert any((shared & 1 == k & 1).sum() > jaccard._shape(k, percent)[2] for k in classes)
+
+
+def test_shared_marks_of_copies_in_several_tasks(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)] + [(90, texts[0] + " z"), (91, None), (92, " ")], "doc_id long, text string")
+    found = jaccard.shared_marks(jaccard.postings(docs.repartition(7, "doc_id"), 4, 85)).collect()
+    hasher = jaccard.Hasher(4)
+    a, b = hasher(texts[0].encode()), hasher(f"{texts[0]} z".encode())
+    both = np.intersect1d(jaccard.marks_of(a, 85), jaccard.marks_of(b, 85)).tolist()
+    assert sorted(tuple(r) for r in found) == sorted((jaccard._node(s), m, 2) for s in (a, b) for m in both)
+
+
+def test_only_wanted_texts_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(50)] + [(None, "n"), (7, "again")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(7, 70, [1, 2]), (None, 80, [3]), (9, 90, [4])], "lowest long, node long, blocks array<long>")
+    few, many = (jaccard.with_texts(docs, wanted, rows).select("node", "text") for rows in (3, 2))
+    expected = [(70, "again"), (70, "t7"), (80, "n"), (90, "t9")]
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == expected
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan
