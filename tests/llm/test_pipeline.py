@@ -2,6 +2,8 @@
 
 import random
 from collections import Counter
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +95,20 @@ def test_stages_on_an_empty_table(spark, stage):
     result = stage(spark, empty, FOLDER)
     assert result.count() == 0
     assert stage is pipeline.write_tokens or result.columns == empty.columns
+
+
+def test_near_copies_write_little_beside_the_texts(spark, prose, monkeypatch):
+    """Marks of sets without a near copy are not written, and relatives that do not link send no text."""
+    draw = random.Random(12)
+    texts = []
+    for _ in range(60):
+        base = prose(500).split()
+        texts += [" ".join(prose(1) if draw.random() < 0.12 else w for w in base) for _ in range(4)]
+    docs = odd(spark, [(i, t, "s") for i, t in enumerate([*texts, texts[0], texts[1] + " end"])]).coalesce(4)
+    tables = []
+    for module in (pipeline, jaccard):
+        monkeypatch.setattr(module, "stored", lambda df, name, put=module.stored: (tables.append(put(df, name)), tables[-1])[1])
+    kept = pipeline.drop_near_copies(spark, docs, FOLDER)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(240))
+    written = sum(Path(unquote(urlparse(f).path)).stat().st_size for t in tables for f in t.inputFiles())
+    assert written < sum(map(len, texts)) / 4
